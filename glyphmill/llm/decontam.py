@@ -6,8 +6,9 @@ fingerprints finds every shared window; each hit is then extended word by word,
 removes hash collisions. Items of fewer than 13 words are one window: all grams of their
 length are fingerprints on both sides.
 
-One pass over the corpus, no shuffle of texts: fingerprints are exploded and probed against
-the broadcast benchmark within one stage, and only narrow hit rows are grouped by document.
+One pass over the corpus, no shuffle of texts: fingerprints, each with the few words around it
+that an extension can reach, are exploded and probed against the broadcast benchmark within
+one stage, and only narrow hit rows are grouped by document.
 explode_outer rather than explode: for the latter the optimizer infers a filter on the size
 of the array, which computes all fingerprints again, and window by window.
 The broadcast is bounded: larger benchmarks are probed in blocks of BLOCK_ROWS fingerprints.
@@ -29,6 +30,10 @@ _POS = 28
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _at(fp: Column) -> Column:
+    return fp.bitwiseAND((1 << _POS) - 1).cast("int")
+
+
 def words_of(text: Column) -> Column:
     """ASCII letters (lowered), digits and everything beyond ASCII make words."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _SEPARATORS), "")
@@ -61,7 +66,7 @@ def _fingerprints(benchmark: DataFrame) -> DataFrame:
     for length in sorted(r[0] for r in short.select(F.size("words")).distinct().collect()):  # at most 12 values
         rows = rows.unionByName(short.filter(F.size("words") == length).select("item", "words", F.explode_outer(_packed("words", length)).alias("fp")))
     rows = rows.filter(F.col("fp").isNotNull())
-    at = F.col("fp").bitwiseAND((1 << _POS) - 1).cast("int")
+    at = _at(F.col("fp"))
     first = F.greatest(at - (WINDOW - K), F.lit(0))
     return rows.select(
         F.shiftright("fp", _POS).alias("h"), "item", F.size("words").alias("m"), (at - first).alias("q"),
@@ -92,7 +97,9 @@ def contamination(
     d = d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words_of(F.col("text")).alias("words"))
     d = _winnowed(d, "words", "fps")
     d = d.withColumn("fps", F.concat(F.array(F.lit(0).cast("long")), "fps", *[_packed("words", n) for n in short]))
-    rows = d.select("rid", "doc_id", "words", F.explode_outer("fps").alias("fp"))
+    around = lambda fp: F.struct(fp.alias("fp"), F.slice("words", F.greatest(_at(fp) - (WINDOW - K), F.lit(0)) + 1, 2 * WINDOW - K).alias("own"))
+    d = d.select("rid", "doc_id", F.size("words").alias("n"), F.transform("fps", around).alias("fps"))
+    rows = d.select("rid", "doc_id", "n", F.explode_outer("fps").alias("f")).select("rid", "doc_id", "n", "f.fp", "f.own")
     return _scored([_matched(rows, F.broadcast(_block(fps, keeper, blocks, b))) for b in range(blocks)])
 
 
@@ -103,11 +110,12 @@ def _block(fps: DataFrame, keeper: DataFrame, blocks: int, b: int) -> DataFrame:
 
 def _matched(rows: DataFrame, block: DataFrame) -> DataFrame:
     j = rows.join(block, F.shiftright("fp", _POS) == F.col("h"))
-    p = F.col("fp").bitwiseAND((1 << _POS) - 1).cast("int")
-    same = lambda i: F.coalesce(F.get("words", p + i) == F.get("ctx", F.col("q") + i), F.lit(False))
+    p = _at(F.col("fp"))
+    q = F.least(p, F.lit(WINDOW - K))  # its place in own
+    same = lambda i: F.coalesce(F.get("own", q + i) == F.get("ctx", F.col("q") + i), F.lit(False))
     left = F.aggregate(F.sequence(F.lit(1), F.lit(WINDOW - K)), F.lit(0), lambda a, i: F.when((a == i - 1) & same(-i), i).otherwise(a))
     right = F.aggregate(F.sequence(F.lit(0), F.lit(WINDOW - 1)), F.lit(0), lambda a, i: F.when((a == i) & same(i), i + 1).otherwise(a))
-    j = j.select("rid", "doc_id", F.size("words").alias("n"), "item", "m", p.alias("p"), left.alias("a"), right.alias("r"))
+    j = j.select("rid", "doc_id", "n", "item", "m", p.alias("p"), left.alias("a"), right.alias("r"))
     hit = (F.col("m") > 0) & (F.col("a") + F.col("r") >= F.least(F.lit(WINDOW), F.col("m")))
     span = F.struct((F.col("p") - F.col("a")).alias("b"), (F.col("p") + F.col("r")).alias("e"))
     return j.filter(hit | (F.col("m") == 0)).select("rid", "doc_id", "n", F.when(hit, F.col("item")).alias("item"), F.when(hit, span).alias("span"))
