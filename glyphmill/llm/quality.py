@@ -21,7 +21,7 @@ from .wordhash import BLANKS, WordHasher, combine, text_blocks
 
 BITS, MAX_ROWS, EPOCHS, THRESHOLD = 18, 6000, 3, 0.3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.0, 1e-4
-_SEPARATORS = BLANKS + b"\0"
+_SEPARATORS = BLANKS
 #: Shapes: A for capitals, a for other letters (all bytes beyond ASCII), 0 for digits; others as they are.
 _SHAPES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 

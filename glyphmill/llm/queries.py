@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, line_dedup, packing, quality, secret_scan, sharding
+from . import decontam, html_extract, jaccard_join, line_dedup, packing, quality, secret_scan, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,5 +45,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_secret_scan, op2_html_extraction, op3_minimax_sharding, op4_sum_of_squares_packing, op6_winnowing_decontamination, op8_quality_classifier, op10_line_dedup)
+    ops = (op1_secret_scan, op2_html_extraction, op3_minimax_sharding, op4_sum_of_squares_packing, op6_winnowing_decontamination, op7_ngram_jaccard_join, op8_quality_classifier, op10_line_dedup)
     return {f.__name__: f for f in ops}

@@ -84,7 +84,7 @@ class WordHasher:
 def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, ends of rows) of a string column; nulls are empty.
 
-    Rows are separated by one zero byte, and a block has at least one row.
+    Rows are separated by one blank, and a block has at least one row.
     """
     texts = column.cast(pa.large_binary()) if len(column) else []
     sizes = [len(x) if (x := t.as_buffer()) is not None else 0 for t in texts]
@@ -94,7 +94,7 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         while last < len(sizes) and (last == first or total + sizes[last] <= block_bytes):
             total += sizes[last]
             last += 1
-        joined = b"\0".join((texts[i].as_py() or b"") for i in range(first, last))
+        joined = b" ".join((texts[i].as_py() or b"") for i in range(first, last))
         ends = np.cumsum(np.array(sizes[first:last], np.int64) + 1) - 1
         yield first, last, np.frombuffer(joined, np.uint8), ends
         first = last
