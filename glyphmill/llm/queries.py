@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, jaccard_join, line_dedup, packing, quality, secret_scan, sharding
+from . import decontam, html_extract, jaccard_join, line_dedup, packing, quality, secret_scan, sharding, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,10 +40,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_secret_scan, op2_html_extraction, op3_minimax_sharding, op4_sum_of_squares_packing, op6_winnowing_decontamination, op7_ngram_jaccard_join, op8_quality_classifier, op10_line_dedup)
+    ops = (
+        op1_secret_scan, op2_html_extraction, op3_minimax_sharding, op4_sum_of_squares_packing, op6_winnowing_decontamination,
+        op7_ngram_jaccard_join, op8_quality_classifier, op9_suffix_dedup, op10_line_dedup,
+    )
     return {f.__name__: f for f in ops}
