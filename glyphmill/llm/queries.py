@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, jaccard_join, line_dedup, packing, quality, secret_scan, sharding, suffix_dedup
+from . import decontam, html_extract, jaccard_join, line_dedup, packing, quality, secret_scan, sharding, suffix_dedup, topk_search
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.report(table(spark, sf_dir, "conversations"))
+
+
 def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     ops = (
-        op1_secret_scan, op2_html_extraction, op3_minimax_sharding, op4_sum_of_squares_packing, op6_winnowing_decontamination,
+        op1_secret_scan, op2_html_extraction, op3_minimax_sharding, op4_sum_of_squares_packing, op5_exact_topk_search, op6_winnowing_decontamination,
         op7_ngram_jaccard_join, op8_quality_classifier, op9_suffix_dedup, op10_line_dedup,
     )
     return {f.__name__: f for f in ops}
