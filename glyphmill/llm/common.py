@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,30 @@ class Spool:
         _delete(self.spark, f"{self.root}/{name}")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """SQL settings for the jobs run inside; names with __ for dots."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def sifted(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Joins of texts with few wanted keys drop most texts before the shuffle.
+
+    The planner's own filter of bounded size (at most 8 MB, a scalar of the plan) does it; where
+    keys are too many for it, it lets more rows through, none too few.
+    """
+    name = "spark__sql__optimizer__runtime__bloomFilter__"
+    return settings(spark, **{name + "enabled": "true", name + "applicationSideScanSizeThreshold": "0", name + "creationSideThreshold": "1g"})
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Spool, only
+from .common import Spool, only, sifted
 from .components import connected
 from .wordhash import BLANKS, WordHasher, combine, mix, text_blocks
 
@@ -218,11 +218,13 @@ def components(
     blocks = members.groupBy("cluster").agg(F.sum("n").alias("weight"))
     blocks = blocks.select("cluster", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("nb"))
     placed = members.join(blocks, "cluster").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    texts = d.join(placed.select("doc_id", "cid", "cluster", "b", "nb"), "doc_id")
+    placed = spool.put(placed, "placed")
+    texts = d.join(placed.filter("n > 0").select("doc_id", "cid", "cluster", "b", "nb"), "doc_id")
     pair = texts.withColumn("o", F.explode_outer(F.sequence(F.lit(0), F.col("nb") - 1)))
     pair = pair.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "cid", "text")
     dealt = pair.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "cid")
-    links = spool.put(dealt.mapInArrow(_link(shingle, percent), "a long, b long"), "links")
+    with sifted(spool.spark):  # most documents have no possible partner
+        links = spool.put(dealt.mapInArrow(_link(shingle, percent), "a long, b long"), "links")
     roots = connected(links, spool, "components").select(F.col("node").alias("cid"), "root")
     full = narrow.join(roots, "cid", "left").select("doc_id", "n", F.coalesce("root", "cid").alias("key"))
     least = full.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"))
