@@ -1 +1,107 @@
-"""To come."""
+"""Queries over packing, sharding and shuffling."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import packing as ops
+from ..sources.readers import corpus_lines
+from .registry import query, table
+
+_N = r"len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
+
+
+def _words(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source", F.least(F.size(t.blank_words(F.col("text"))), F.lit(200)).alias("n"))
+
+
+@query("pack_tokens", f"""
+WITH RECURSIVE w AS (SELECT source, doc_id, CAST(least({_N}, 200) AS INTEGER) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+f AS (
+  SELECT source, rn, n AS used, 0 AS sample FROM w WHERE rn = 1
+  UNION ALL
+  SELECT w.source, w.rn, CASE WHEN f.used + w.n <= 256 THEN f.used + w.n ELSE w.n END, f.sample + CASE WHEN f.used + w.n <= 256 THEN 0 ELSE 1 END
+  FROM f JOIN w ON w.source = f.source AND w.rn = f.rn + 1)
+SELECT source, CAST(sample AS BIGINT) AS sample_id, CAST(max(used) AS INTEGER) AS used FROM f GROUP BY source, sample""")
+def pack_tokens(spark, d):
+    """Lines of at most 200 tokens into samples of 256; tokens are ones, padding zeros, so used counts them."""
+    lines = _words(spark, d).withColumn("ids", F.array_repeat(F.lit(1), F.col("n")))
+    packed = ops.pack_tokens(lines, "source", ["doc_id"], 256, 0, frozenset())
+    return packed.select("source", "sample_id", F.size(F.filter("input_ids", lambda x: x != 0)).alias("used"))
+
+
+@query("pack_lazy")
+def pack_lazy(spark, d):
+    """Lines of text into samples of 510 characters; tested against a plain fold."""
+    lines = corpus_lines(table(spark, d, "documents")).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return ops.pack_lazy(lines, "source", ["doc_id", "pos"], 512)
+
+
+@query("pack_per_line", """
+WITH l AS (SELECT doc_id, CAST(unnest(range(0, (greatest(len(text), 1) - 1) // 512 + 1)) AS INTEGER) AS piece, text FROM documents)
+SELECT doc_id, piece, substring(text, piece * 512 + 1, 512) AS text, len(substring(text, piece * 512 + 1, 512)) AS length FROM l""")
+def pack_per_line(spark, d):
+    """Rows are cut on their own: nothing crosses a document, so nothing is shuffled."""
+    docs = table(spark, d, "documents")
+    p = docs.select("doc_id", F.posexplode_outer(t.slot_chunks(F.col("text"), 512)).alias("piece", "text"))
+    return p.select("doc_id", "piece", "text", F.char_length("text").cast("long").alias("length"))
+
+
+@query("global_shuffle", """
+WITH h AS (SELECT doc_id, md5('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents)
+SELECT doc_id, CAST(('0x' || substring(h, 1, 8)) AS BIGINT) % 16 AS bucket, row_number() OVER (PARTITION BY CAST(('0x' || substring(h, 1, 8)) AS BIGINT) % 16 ORDER BY h, doc_id) AS place FROM h""")
+def global_shuffle(spark, d):
+    return ops.shuffled(table(spark, d, "documents"), "doc_id", 42, 16)
+
+
+@query("shard_manifest", "SELECT doc_id // 64 AS shard, count(*) AS samples, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def shard_manifest(spark, d):
+    return table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 64).alias("shard")).agg(F.count("*").alias("samples"), F.sum("n_chars").alias("chars"))
+
+
+@query("shard_offsets", """
+WITH s AS (SELECT doc_id // 64 AS shard, count(*) AS samples FROM documents GROUP BY 1)
+SELECT shard, samples, CAST(coalesce(sum(samples) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM s""")
+def shard_offsets(spark, d):
+    return ops.shard_sizes(table(spark, d, "documents").withColumn("shard", F.floor(F.col("doc_id") / 64)), "shard")
+
+
+@query("shard_lookup", """
+WITH s AS (SELECT doc_id // 64 AS shard, count(*) AS samples FROM documents GROUP BY 1),
+o AS (SELECT shard, samples, coalesce(sum(samples) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s),
+w AS (SELECT item_id * 17 % (SELECT count(*) FROM documents) AS idx FROM benchmark)
+SELECT idx, shard, CAST(idx - off AS BIGINT) AS place FROM w JOIN o ON idx >= off AND idx < off + samples""")
+def shard_lookup(spark, d):
+    """Global row numbers to shards: a range join with the catalogue, one row per shard."""
+    docs = table(spark, d, "documents")
+    o = ops.shard_sizes(docs.withColumn("shard", F.floor(F.col("doc_id") / 64)), "shard")
+    total = docs.agg(F.count("*").alias("total"))  # one row
+    w = table(spark, d, "benchmark").crossJoin(F.broadcast(total)).select((F.col("item_id") * 17 % F.col("total")).alias("idx"))
+    j = w.join(o, (F.col("idx") >= F.col("offset")) & (F.col("idx") < F.col("offset") + F.col("samples")))
+    return j.select("idx", "shard", (F.col("idx") - F.col("offset")).alias("place"))
+
+
+@query("context_budget", f"SELECT lang, greatest(1, 2048 - max({_N})) AS max_new FROM documents GROUP BY lang")
+def context_budget(spark, d):
+    n = F.size(t.blank_words(F.col("text")))
+    return table(spark, d, "documents").groupBy("lang").agg(F.greatest(F.lit(1), 2048 - F.max(n)).cast("long").alias("max_new"))
+
+
+@query("keep_latest", "SELECT source, max(doc_id) AS doc_id FROM documents GROUP BY source")
+def keep_latest(spark, d):
+    rn = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))
+    return table(spark, d, "documents").select("source", "doc_id", rn.alias("rn")).filter("rn = 1").drop("rn")
+
+
+@query("pick_latest", """
+WITH f AS (SELECT source, 'step_' || CAST(doc_id AS VARCHAR) AS name, doc_id FROM documents UNION ALL SELECT DISTINCT source, 'best_model', NULL FROM documents WHERE source IN ('src1', 'src2'))
+SELECT source, arg_max(name, CASE WHEN name = 'best_model' THEN 9223372036854775807 ELSE doc_id END) AS name FROM f GROUP BY source""")
+def pick_latest(spark, d):
+    docs = table(spark, d, "documents")
+    named = docs.filter(F.col("source").isin("src1", "src2")).select("source", F.lit("best_model").alias("name")).distinct()
+    files = docs.select("source", F.concat(F.lit("step_"), F.col("doc_id").cast("string")).alias("name")).unionByName(named)
+    step = F.regexp_extract("name", r"^step_(\d+)$", 1)
+    rank = F.when(F.col("name") == "best_model", F.lit(2**63 - 1)).otherwise(step.try_cast("long"))
+    return files.groupBy("source").agg(F.max_by("name", rank).alias("name"))

@@ -43,8 +43,8 @@ def alphabet_union(spark, d):
 
 
 @query("first_seen_ids", """
-WITH at AS (SELECT doc_id, i, string_split(text, '')[i] AS token FROM documents, unnest(range(1, len(text) + 1)) t(i))
-SELECT token, CAST(row_number() OVER (ORDER BY min(struct_pack(doc_id := doc_id, i := i))) + 3 AS INTEGER) AS id FROM at WHERE token <> '' GROUP BY token""")
+WITH places AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(text, '') AS w FROM documents))
+SELECT token, CAST(row_number() OVER (ORDER BY min(struct_pack(doc_id := doc_id, i := i))) + 3 AS INTEGER) AS id FROM places WHERE token <> '' GROUP BY token""")
 def first_seen_ids(spark, d):
     return vocab.first_seen(table(spark, d, "documents"))
 
@@ -55,7 +55,7 @@ def sentence_end_ids(spark, d):
 
 
 @query("encode_word", rf"""
-WITH {_WORD_VOCAB}, x AS (SELECT doc_id, i, ({_TOKENS})[i] AS token FROM documents, unnest(range(1, len({_TOKENS}) + 1)) t(i))
+WITH {_WORD_VOCAB}, x AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_TOKENS} AS w FROM documents))
 SELECT doc_id, list_prepend(2, list_append(list(coalesce(id, 0) ORDER BY i), 3)) AS ids FROM x LEFT JOIN vocab USING (token) GROUP BY doc_id""")
 def encode_word(spark, d):
     docs = table(spark, d, "documents")
@@ -64,7 +64,7 @@ def encode_word(spark, d):
 
 
 @query("encode_word_ids", rf"""
-WITH {_WORD_VOCAB}, x AS (SELECT doc_id, i, ({_TOKENS})[i] AS token FROM documents, unnest(range(1, len({_TOKENS}) + 1)) t(i))
+WITH {_WORD_VOCAB}, x AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_TOKENS} AS w FROM documents))
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, token, coalesce(id, 0) AS id FROM x LEFT JOIN vocab USING (token)""")
 def encode_word_ids(spark, d):
     docs = table(spark, d, "documents")
@@ -72,8 +72,8 @@ def encode_word_ids(spark, d):
 
 
 @query("decode_word_ids", rf"""
-WITH {_WORD_VOCAB}, x AS (SELECT doc_id, i, ({_TOKENS})[i] AS token FROM documents, unnest(range(1, len({_TOKENS}) + 1)) t(i))
-SELECT doc_id, string_agg(token, ' ' ORDER BY i) AS text FROM x WHERE token IN (SELECT token FROM vocab) GROUP BY doc_id""")
+WITH {_WORD_VOCAB}, x AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_TOKENS} AS w FROM documents))
+SELECT doc_id, string_agg(token, ' ' ORDER BY i) AS text FROM x JOIN vocab USING (token) GROUP BY doc_id""")
 def decode_word_ids(spark, d):
     docs = table(spark, d, "documents")
     v = vocab.word_vocab(docs, 500)
@@ -81,7 +81,7 @@ def decode_word_ids(spark, d):
     return vocab.in_order(vocab.decode(coded, v, ["doc_id"]), ["doc_id"], "token", "t").select("doc_id", F.array_join("t", " ").alias("text"))
 
 
-@query("oov_tokens_anti", rf"WITH {_WORD_VOCAB} SELECT token, cnt FROM freq WHERE token NOT IN (SELECT token FROM vocab)")
+@query("oov_tokens_anti", rf"WITH {_WORD_VOCAB} SELECT token, cnt FROM freq WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.token = freq.token)")
 def oov_tokens_anti(spark, d):
     docs = table(spark, d, "documents")
     return corpus.word_counts(docs).join(vocab.word_vocab(docs, 500), "token", "left_anti")
