@@ -71,7 +71,8 @@ def train(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int
     sparse = []
     for buckets, label in examples:
         own, counts = np.unique(buckets, return_counts=True)
-        sparse.append((np.append(own, 1 << bits), np.append(counts / np.sqrt(max(1, len(buckets))), 1.0), label))
+        x = np.append(counts / np.sqrt(max(1, len(buckets))), 1.0)
+        sparse.append((np.append(own, 1 << bits).astype(np.int32), x.astype(np.float32), label))
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(sparse)):
             own, x, label = sparse[i]
@@ -115,19 +116,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([(np.asarray(b.values), y.as_py()) for y, b in zip(got.column(0), got.column(1), strict=True)])
 
 
-def _scores(weights: np.ndarray, bits: int):
+def _scores(weights: np.ndarray, bits: int, text: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
             scores = []
-            for first, last, raw, ends in text_blocks(batch.column(batch.schema.get_field_index("_text"))):
+            for first, last, raw, ends in text_blocks(batch.column(batch.schema.get_field_index(text))):
                 bucket, starts = features(raw, ends)
                 sums = np.concatenate([[0.0], np.cumsum(weights[bucket], dtype=np.float64)])
                 size = np.maximum(1, starts[1:] - starts[:-1])
                 scores.append(_logistic((sums[starts[1:]] - sums[starts[:-1]]) / np.sqrt(size) + weights[-1]))
             found = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            keep = [i for i, f in enumerate(batch.schema.names) if f != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), found], [*(batch.schema.names[i] for i in keep), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), found], [*keep, "score"])
 
     return run
 
@@ -139,9 +139,9 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", keep: li
     Repeated rows score each; an empty table gives no rows.
     """
     cols = [c for c in (keep or docs.columns) if c != "score"]
-    d = docs.select(*[docs[c] for c in cols], docs[text_col].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_text")
-    return d.mapInArrow(_scores(weights, BITS), f"{schema}, score double")
+    d = docs.select(*[docs[c] for c in dict.fromkeys([*cols, text_col])])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in cols)
+    return d.mapInArrow(_scores(weights, BITS, text_col, cols), f"{schema}, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
