@@ -152,13 +152,15 @@ pieces AS (SELECT p AS token, CAST(row_number() OVER (ORDER BY count(*) DESC, p)
 
 
 @query("greedy_longest_match", f"""
-WITH RECURSIVE {_PIECES}, r AS (
-  SELECT item_id, lower(text) AS s, 1 AS at, 0 AS k, 0 AS id FROM benchmark
+WITH RECURSIVE {_PIECES},
+best AS (
+  SELECT item_id, p, coalesce(arg_max(id, len(token)), 0) AS id, coalesce(max(len(token)), 1) AS n
+  FROM (SELECT item_id, lower(text) AS s, p FROM benchmark, unnest(range(1, len(text) + 1)) t(p)) x LEFT JOIN pieces ON starts_with(substring(s, p, 128), token) GROUP BY item_id, p),
+r AS (
+  SELECT item_id, CAST(1 AS BIGINT) AS p, 0 AS k FROM benchmark
   UNION ALL
-  SELECT item_id, s, at + coalesce(m.n, 1), k + 1, coalesce(m.id, 0) FROM r LEFT JOIN LATERAL (
-    SELECT id, len(token) AS n FROM pieces WHERE starts_with(substring(s, at, 128), token) ORDER BY len(token) DESC LIMIT 1) m ON true
-  WHERE at <= len(s))
-SELECT item_id, list(id ORDER BY k) AS ids FROM r WHERE k > 0 GROUP BY item_id""")
+  SELECT r.item_id, r.p + b.n, r.k + 1 FROM r JOIN best b ON b.item_id = r.item_id AND b.p = r.p)
+SELECT r.item_id, list(b.id ORDER BY r.k) AS ids FROM r JOIN best b ON b.item_id = r.item_id AND b.p = r.p GROUP BY r.item_id""")
 def greedy_longest_match(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("text"))
     both = F.concat(F.split("text", ""), F.split("text", " "))

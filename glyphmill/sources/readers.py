@@ -26,8 +26,9 @@ def arrow_file(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for content in batch.column(0):
-                for b in pa.ipc.open_file(pa.py_buffer(content.as_py())):
-                    i = b.schema.get_field_index("text")
+                file = pa.ipc.open_file(pa.py_buffer(content.as_py()))
+                i = file.schema.get_field_index("text")
+                for b in map(file.get_batch, range(file.num_record_batches)):
                     yield pa.RecordBatch.from_arrays([b.column(max(i, 0)).cast(pa.string())], ["text"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "text string")
