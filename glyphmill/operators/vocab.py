@@ -16,6 +16,8 @@ CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяёА
 END_OF_WORD = "<eow>"
 #: A vocabulary up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: An alphabet has no more rows than Unicode has code points.
+CODE_POINTS = 1_114_112
 
 
 def word_vocab(docs: DataFrame, size: int) -> DataFrame:
@@ -50,13 +52,14 @@ def first_seen(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return first.select("token", (F.row_number().over(Window.orderBy("at")) + 3).alias("id"))  # an alphabet
 
 
-def _small(vocab: DataFrame) -> DataFrame:
-    return F.broadcast(vocab) if vocab.count() <= BROADCAST_ROWS else vocab
+def _small(vocab: DataFrame, most: int | None) -> DataFrame:
+    """Broadcast if it has at most so many rows by construction (most), else by count."""
+    return F.broadcast(vocab) if (vocab.count() if most is None else most) <= BROADCAST_ROWS else vocab
 
 
-def encode(tokens: DataFrame, vocab: DataFrame, keys: list[str], unk: int = UNK) -> DataFrame:
+def encode(tokens: DataFrame, vocab: DataFrame, keys: list[str], unk: int = UNK, most: int | None = None) -> DataFrame:
     """keys, pos, token, id of rows (keys, pos, token): a lookup, the unknown id elsewhere."""
-    return tokens.join(_small(vocab), "token", "left").select(*keys, "pos", "token", F.coalesce("id", F.lit(unk)).alias("id"))
+    return tokens.join(_small(vocab, most), "token", "left").select(*keys, "pos", "token", F.coalesce("id", F.lit(unk)).alias("id"))
 
 
 def in_order(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -69,9 +72,9 @@ def exploded(docs: DataFrame, tokens, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.posexplode_outer(tokens).alias("pos", "token")).filter("token is not null and token <> ''")
 
 
-def decode(ids: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
+def decode(ids: DataFrame, vocab: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """keys, pos, token of rows (keys, pos, id), special tokens dropped."""
-    return ids.join(_small(vocab), "id", "left").filter(~F.coalesce(F.col("token").isin(*SPECIALS), F.lit(False))).select(*keys, "pos", "token")
+    return ids.join(_small(vocab, most), "id", "left").filter(~F.coalesce(F.col("token").isin(*SPECIALS), F.lit(False))).select(*keys, "pos", "token")
 
 
 def slot_ids(docs: DataFrame, alphabet: DataFrame, most: int = 24, key: str = "doc_id") -> DataFrame:
@@ -83,5 +86,5 @@ def slot_ids(docs: DataFrame, alphabet: DataFrame, most: int = 24, key: str = "d
     chunks = words.select(key, "w", F.size(t.slot_chunks(F.col("word"), most)).alias("n"), F.posexplode_outer(t.slot_chunks(F.col("word"), most)).alias("c", "chunk"))
     chars = F.concat(F.array_remove(F.split("chunk", ""), ""), F.when(F.col("c") == F.col("n") - 1, F.array(F.lit(END_OF_WORD))).otherwise(F.array().cast("array<string>")))
     rows = chunks.select(key, "w", "c", F.posexplode_outer(chars).alias("pos", "token"))
-    coded = encode(rows.filter("token is not null"), alphabet, [key, "w", "c"])
+    coded = encode(rows.filter("token is not null"), alphabet, [key, "w", "c"], most=CODE_POINTS)
     return in_order(in_order(coded, [key, "w", "c"], "id", "ids").select(key, F.struct("w", "c").alias("pos"), "ids"), [key], "ids", "slots")

@@ -59,7 +59,7 @@ WITH {_WORD_VOCAB}, x AS (SELECT doc_id, unnest(w) AS token, generate_subscripts
 SELECT doc_id, list_prepend(2, list_append(list(coalesce(id, 0) ORDER BY i), 3)) AS ids FROM x LEFT JOIN vocab USING (token) GROUP BY doc_id""")
 def encode_word(spark, d):
     docs = table(spark, d, "documents")
-    coded = vocab.encode(vocab.exploded(docs, t.word_tokens(F.col("text"))), vocab.word_vocab(docs, 500), ["doc_id"])
+    coded = vocab.encode(vocab.exploded(docs, t.word_tokens(F.col("text"))), vocab.word_vocab(docs, 500), ["doc_id"], most=500)
     return vocab.in_order(coded, ["doc_id"], "id", "ids").select("doc_id", F.concat(F.array(F.lit(vocab.BOS)), "ids", F.array(F.lit(vocab.EOS))).alias("ids"))
 
 
@@ -68,7 +68,7 @@ WITH {_WORD_VOCAB}, x AS (SELECT doc_id, unnest(w) AS token, generate_subscripts
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, token, coalesce(id, 0) AS id FROM x LEFT JOIN vocab USING (token)""")
 def encode_word_ids(spark, d):
     docs = table(spark, d, "documents")
-    return vocab.encode(vocab.exploded(docs, t.word_tokens(F.col("text"))), vocab.word_vocab(docs, 500), ["doc_id"])
+    return vocab.encode(vocab.exploded(docs, t.word_tokens(F.col("text"))), vocab.word_vocab(docs, 500), ["doc_id"], most=500)
 
 
 @query("decode_word_ids", rf"""
@@ -77,8 +77,8 @@ SELECT doc_id, string_agg(token, ' ' ORDER BY i) AS text FROM x JOIN vocab USING
 def decode_word_ids(spark, d):
     docs = table(spark, d, "documents")
     v = vocab.word_vocab(docs, 500)
-    coded = vocab.encode(vocab.exploded(docs, t.word_tokens(F.col("text"))), v, ["doc_id"]).drop("token")
-    return vocab.in_order(vocab.decode(coded, v, ["doc_id"]), ["doc_id"], "token", "t").select("doc_id", F.array_join("t", " ").alias("text"))
+    coded = vocab.encode(vocab.exploded(docs, t.word_tokens(F.col("text"))), v, ["doc_id"], most=500).drop("token")
+    return vocab.in_order(vocab.decode(coded, v, ["doc_id"], most=500), ["doc_id"], "token", "t").select("doc_id", F.array_join("t", " ").alias("text"))
 
 
 @query("oov_tokens_anti", rf"WITH {_WORD_VOCAB} SELECT token, cnt FROM freq WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.token = freq.token)")
@@ -93,7 +93,7 @@ SELECT item_id, list(coalesce(id, 0) ORDER BY i) AS ids FROM x LEFT JOIN vocab U
 def encode_char(spark, d):
     v = vocab.char_vocab(table(spark, d, "documents"), 64, least=2)
     rows = vocab.exploded(table(spark, d, "benchmark"), F.split("text", ""), "item_id")
-    return vocab.in_order(vocab.encode(rows, v, ["item_id"]), ["item_id"], "id", "ids")
+    return vocab.in_order(vocab.encode(rows, v, ["item_id"], most=64), ["item_id"], "id", "ids")
 
 
 @query("slot_encode", r"""
