@@ -361,3 +361,25 @@ def test_line_dedup(spark, empty):
         want.add((i, None if x is None else "\n".join(kept), 0 if lines is None else len(lines) - len(kept)))
     assert got == want and out.count() == len(data)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 4, 128])
+def test_shard_search(block, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    terms = [np.unique(rng.zipf(1.3, 20) % 60).astype(np.int64) for _ in range(300)]
+    counts = [rng.integers(1, 4, len(t)).astype(np.int32) for t in terms]
+    length = np.array([int(c.sum()) for c in counts])
+    shard = topk_search.Shard(terms, counts, length, float(length.mean()), np.arange(300))
+    for _ in range(60):
+        q = np.unique(rng.zipf(1.3, 15) % 70).astype(np.int64)
+        w = rng.random(len(q)) + 0.1
+        scores = np.zeros(300)
+        for i, (t, c) in enumerate(zip(terms, counts, strict=True)):
+            for x, y in zip(t, c, strict=True):
+                if x in q:
+                    scores[i] += w[q == x][0] * y * 2.2 / (y + 1.2 * (0.25 + 0.75 * length[i] / length.mean()))
+        scores = np.round(scores, topk_search.DECIMALS)
+        best = [i for i in np.lexsort((np.arange(300), -scores))[:10] if scores[i] > 0]
+        ids, got = shard.search(q, w, 10)
+        assert ids.tolist() == best and np.allclose(got, scores[best])
