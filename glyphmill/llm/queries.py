@@ -29,7 +29,7 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk_search.report(table(spark, sf_dir, "conversations"))
+    return topk_search.report_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from glyphmill.llm import (
     line_dedup,
     packing,
     quality,
+    queries,
     secret_scan,
     sharding,
     suffix_dedup,
@@ -211,6 +212,14 @@ def test_topk(spark):
     assert topk_search.report(df.limit(0)).count() == 0
 
 
+def test_topk_searches_documents(spark, tmp_path):
+    """Documents are queries and hits; there is no other table here."""
+    texts = [(20, "alpha beta gamma"), (21, "alpha beta delta"), (22, "omega"), (40, "omega " * 5000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_exact_topk_search(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r["rank"], r.hit_doc_id) for r in got} == {(20, 1, 20), (20, 2, 21), (40, 1, 40), (40, 2, 22)}
+
+
 @pytest.mark.parametrize("block", [200_000, 7])
 def test_contamination(docs, empty, benchmark, block, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_ROWS", block)
