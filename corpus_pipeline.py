@@ -31,8 +31,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; rows without an id stay."""
-    groups = jaccard_join.components(docs)
+    """One document of each group of near copies (five-word shingles, 0.80), that of the smallest id; rows without an id stay."""
+    groups = jaccard_join.components(docs, shingle=5, percent=80)
     spool = Spool(spark, "near-copies")
     gone = spool.put(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

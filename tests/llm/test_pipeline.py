@@ -51,3 +51,11 @@ def test_packing_round_trip(spark):
     docs = spark.createDataFrame([(i, "word " * i) for i in range(0, 2500, 100)], "doc_id long, text string")
     out = packing.pack(docs).groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in out}.keys() == {r.doc_id for r in docs.collect()}
+
+
+def test_near_copies_from_080(spark):
+    """A copy with a sixth of its text appended: 0.83 by five words, below 0.85 by four."""
+    words = [f"w{i}" for i in range(240)]
+    docs = spark.createDataFrame([(1, " ".join(words[:200])), (2, " ".join(words)), (3, " ".join(words[120:]))], "doc_id long, text string")
+    assert len({r.component_id for r in jaccard_join.components(docs).collect()}) == 3
+    assert {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, SMALL).collect()} == {1, 3}
