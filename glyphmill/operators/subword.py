@@ -1,7 +1,7 @@
 """Subword tokenizers: counts in Catalyst, merges learned from word counts, encoding in Arrow batches.
 
-Learning sees word types with their counts, not the corpus: at most MAX_TYPES most frequent
-types (a documented bound) reach the learner. Encoding is a map over batches with the learned
+Learning sees all word types with their counts, not the corpus; they are gathered on the driver,
+whose memory grows with the number of types. Encoding is a map over batches with the learned
 table in the closure.
 """
 
@@ -16,16 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .corpus import top_tokens, word_counts
+from .corpus import word_counts
 
-MAX_TYPES = 200_000
 LONGEST_PIECE = 128
 
 
-def word_types(docs: DataFrame, most: int = MAX_TYPES, mark: str = " ") -> dict[str, int]:
-    """Counts of the most frequent blank-separated words, each with the mark that stands for the blank before it."""
+def word_types(docs: DataFrame, mark: str = " ") -> dict[str, int]:
+    """Counts of all blank-separated words, each with the mark that stands for the blank before it."""
     words = docs.select(F.explode_outer(t.blank_words(F.col("text"))).alias("token")).filter("token is not null").groupBy("token").agg(F.count("*").alias("cnt"))
-    return {mark + r.token: r.cnt for r in top_tokens(words, most).collect()}
+    return {mark + r.token: r.cnt for r in words.toLocalIterator()}
 
 
 def pair_counts(docs: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def bpe_pair_counts(spark, d):
 
 def _coded(spark, d, factory):
     docs = table(spark, d, "documents")
-    return subword.encode(docs, factory(subword.word_types(docs, 20_000), 400)).select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("digest"))
+    return subword.encode(docs, factory(subword.word_types(docs), 400)).select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("digest"))
 
 
 @query("bpe_encode")
@@ -143,7 +143,7 @@ def wordpiece_encode(spark, d):
 
 @query("unigram_encode")
 def unigram_encode(spark, d):
-    return _coded(spark, d, lambda types, size: subword.unigram(dict(list(types.items())[:4000]), size))
+    return _coded(spark, d, subword.unigram)
 
 
 _PIECES = """
