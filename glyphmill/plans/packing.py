@@ -14,7 +14,7 @@ _N = r"len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')),
 
 
 def _words(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source", F.least(F.size(t.blank_words(F.col("text"))), F.lit(200)).alias("n"))
+    return table(spark, d, "documents").select("doc_id", "source", F.size(t.blank_words(F.col("text"))).alias("n"))
 
 
 @query("pack_tokens", f"""
@@ -26,7 +26,7 @@ f AS (
   FROM f JOIN w ON w.source = f.source AND w.rn = f.rn + 1)
 SELECT source, CAST(sample AS BIGINT) AS sample_id, CAST(max(used) AS INTEGER) AS used FROM f GROUP BY source, sample""")
 def pack_tokens(spark, d):
-    """Lines of at most 200 tokens into samples of 256; tokens are ones, padding zeros, so used counts them."""
+    """Documents into samples of 256, longer ones cut; tokens are ones, padding zeros, so used counts them."""
     lines = _words(spark, d).withColumn("ids", F.array_repeat(F.lit(1), F.col("n")))
     packed = ops.pack_tokens(lines, "source", ["doc_id"], 256, 0, frozenset())
     return packed.select("source", "sample_id", F.size(F.filter("input_ids", lambda x: x != 0)).alias("used"))
