@@ -72,8 +72,8 @@ def edge_strip(spark, d):
 WITH p AS ({_PAIRS}), x AS (SELECT conv_id, turn, {_FOLD.format("left(prompt, 200)")} AS a, {_FOLD.format("left(answer, 200)")} AS b FROM p)
 SELECT conv_id, turn, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 100.0::DOUBLE ELSE greatest(0.0::DOUBLE, (1 - levenshtein(a, b) / greatest(len(a), len(b))::DOUBLE) * 100) END, 6) AS similarity FROM x""")
 def lev_similarity(spark, d):
-    cut = lambda c: t.ascii_fold(F.substring(c, 1, 200))
-    return _pairs(spark, d).select("conv_id", "turn", F.round(t.similarity_percent(cut("prompt"), cut("answer")), 6).alias("similarity"))
+    similarity = t.similarity_percent(t.ascii_fold(F.col("prompt")), t.ascii_fold(F.col("answer")))
+    return _pairs(spark, d).select("conv_id", "turn", F.round(similarity, 6).alias("similarity"))
 
 
 @query("lev_threshold", f"""
@@ -81,8 +81,8 @@ WITH p AS ({_PAIRS}), x AS (SELECT conv_id, turn, {_FOLD.format("left(prompt, 60
 s AS (SELECT conv_id, turn, CASE WHEN greatest(len(a), len(b)) = 0 THEN 100.0::DOUBLE ELSE greatest(0.0::DOUBLE, (1 - levenshtein(a, b) / greatest(len(a), len(b))::DOUBLE) * 100) END AS s FROM x)
 SELECT conv_id, turn, round(CASE WHEN s >= 20 THEN s ELSE 0 END, 6) AS score FROM s""")
 def lev_threshold(spark, d):
-    cut = lambda c: t.ascii_fold(F.substring(c, 1, 60))
-    return _pairs(spark, d).select("conv_id", "turn", F.round(t.cutoff(t.similarity_percent(cut("prompt"), cut("answer")), 20.0), 6).alias("score"))
+    similarity = t.similarity_percent(t.ascii_fold(F.col("prompt")), t.ascii_fold(F.col("answer")))
+    return _pairs(spark, d).select("conv_id", "turn", F.round(t.cutoff(similarity, 20.0), 6).alias("score"))
 
 
 @query("word_levenshtein")
