@@ -134,8 +134,7 @@ def mojibake_flag(spark, d):
 @query("mojibake_repair", "SELECT doc_id, left(text, 50) AS text FROM documents")
 def mojibake_repair(spark, d):
     """A code-page accident and its repair give the text back."""
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 50).alias("text"))
-    return docs.select("doc_id", t.unmangle(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", t.unmangle(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).alias("text"))
 
 
 def _literal(s: str) -> str:

@@ -173,7 +173,7 @@ def greedy_longest_match(spark, d):
 def morpheme_encode(spark, d):
     """Pieces between blanks, symbols and digits, blanks joined to the next one, greedily matched."""
     docs = table(spark, d, "documents")
-    pieces = docs.select(F.explode_outer(t.merge_blanks(t.morph_words(F.substring("text", 1, 100_000)))).alias("token")).filter("token <> ''").groupBy("token").agg(F.count("*").alias("cnt"))
+    pieces = docs.select(F.explode_outer(t.merge_blanks(t.morph_words(F.col("text")))).alias("token")).filter("token <> ''").groupBy("token").agg(F.count("*").alias("cnt"))
     chars = [r.token for r in corpus.char_counts(docs.select(F.lower("text").alias("text"))).select("token").orderBy("token").collect()]  # an alphabet
     tokens = dict.fromkeys([*chars, *(r.token for r in corpus.top_tokens(pieces, 1000).collect())])
     return subword.encode(docs.select("doc_id", F.lower("text").alias("text")), subword.longest_matcher({p: i + 1 for i, p in enumerate(tokens)})).select(
@@ -187,7 +187,7 @@ _SPANS = ArrayType(ArrayType(IntegerType()))
 @query("viterbi_segment")
 def viterbi_segment(spark, d):
     """Boundary probabilities are an input column; here a hash of place and text stands for a model's output."""
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 200).alias("text"))
+    items = table(spark, d, "benchmark").select("item_id", "text")
     chars = F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)))
     items = items.withColumn("p", F.transform(chars, lambda i: F.pmod(F.xxhash64("text", i), F.lit(1000)) / 1000.0))
     words = items.select(F.explode_outer(t.blank_words(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
