@@ -110,9 +110,10 @@ def canaries(items: DataFrame, docs: DataFrame) -> DataFrame:
     w = t.blank_words(F.col("text"))
     head = 6
     i = items.select("item_id", w.alias("w")).filter(F.size("w") >= 2 * head)
-    i = i.select("item_id", F.xxhash64(F.slice("w", 1, head)).alias("h"), F.slice("w", head + 1, 10_000).alias("suffix"))
+    i = i.select("item_id", F.xxhash64(F.slice("w", 1, head)).alias("h"), F.slice("w", F.lit(head + 1), F.greatest(F.size("w"), F.lit(0))).alias("suffix"))
+    longest = i.agg(F.max(F.size("suffix"))).first()[0] or 0
     d = docs.select("doc_id", "lang", w.alias("w"))
-    starts = F.transform(t.positions(1, F.size("w") - (head - 1)), lambda p: F.struct(F.xxhash64(F.slice("w", p, head)).alias("h"), F.slice("w", p + head, 60).alias("next")))
+    starts = F.transform(t.positions(1, F.size("w") - (head - 1)), lambda p: F.struct(F.xxhash64(F.slice("w", p, head)).alias("h"), F.slice("w", p + head, F.lit(longest)).alias("next")))
     d = d.select("doc_id", "lang", F.explode_outer(starts).alias("s")).select("doc_id", "lang", "s.h", "s.next")
     j = d.join(i, "h")
     same = F.zip_with("suffix", F.slice("next", F.lit(1), F.size("suffix")), lambda a, b: a == b)
