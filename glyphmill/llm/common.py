@@ -18,11 +18,14 @@ _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session has none (tests, a laptop) one is made for the process.
+    Where a local session has none (tests, a laptop) one is made for the process; on a cluster
+    that would be a folder of one machine, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="glyphmill-")
     return _OWN["dir"]
@@ -60,6 +63,10 @@ class Spool:
         """For a table that no later plan reads."""
         _delete(self.spark, f"{self.root}/{name}")
 
+    def close(self) -> None:
+        """All its tables; nothing read from them may be used any more."""
+        _delete(self.spark, self.root)
+
 
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:

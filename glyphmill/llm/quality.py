@@ -62,20 +62,22 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+def sparse(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their values: counts over the square root of the number of n-grams."""
+    own, counts = np.unique(buckets, return_counts=True)
+    return own.astype(np.int32), (counts / np.sqrt(max(1, len(buckets)))).astype(np.float32)
+
+
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights by per-coordinate follow-the-regularised-leader; the last one is the bias.
 
-    examples: the buckets of a text (repeats count) and its label. Without examples all weights are zero.
+    examples: sparse() of a text and its label. Without examples all weights are zero.
     """
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    sparse = []
-    for buckets, label in examples:
-        own, counts = np.unique(buckets, return_counts=True)
-        x = np.append(counts / np.sqrt(max(1, len(buckets))), 1.0)
-        sparse.append((np.append(own, 1 << bits).astype(np.int32), x.astype(np.float32), label))
     for epoch in range(epochs):
-        for i in np.random.default_rng(epoch).permutation(len(sparse)):
-            own, x, label = sparse[i]
+        for i in np.random.default_rng(epoch).permutation(len(examples)):
+            own, x, label = examples[i]
+            own, x = np.append(own, 1 << bits), np.append(x, np.float32(1))
             w = _weights(z[own], n[own])
             g = (_logistic(w @ x) - label) * x
             sigma = (np.sqrt(n[own] + g * g) - np.sqrt(n[own])) / ALPHA
@@ -94,26 +96,44 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _featurize(bits: int):
+    """The last column, a text, becomes its distinct buckets and their values."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
-            for first, last, raw, ends in text_blocks(batch.column(1)):
+            last = batch.num_columns - 1
+            for a, b, raw, ends in text_blocks(batch.column(last)):
                 bucket, starts = features(raw, ends)
-                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(bucket.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], ["label", "buckets"])
+                own, values = zip(*[sparse(bucket[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)], strict=True)
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (own, values)]
+                kept = [c.slice(a, b - a) for c in batch.columns[:last]]
+                yield pa.RecordBatch.from_arrays([*kept, *lists], [*batch.schema.names[:last], "own", "x"])
 
     return run
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    examples = []
+    for batch in batches:
+        own, x = (batch.column(batch.schema.get_field_index(c)) for c in ("own", "x"))
+        examples += [(np.asarray(o.values), np.asarray(v.values), y) for o, v, y in zip(own, x, batch.column(0).to_pylist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([train(examples).tobytes()], pa.binary())], ["weights"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> np.ndarray:
-    """Weights from labelled rows outside the held-out fold; conflicting labels of an id count each."""
+    """Weights from at most max_rows labelled rows outside the held-out fold; conflicting labels of an id count each.
+
+    Texts become features where they lie; one task, over the bounded rows in an order that
+    does not depend on how they are dealt, trains, and only the weights come to the driver.
+    """
     d = only(docs, doc_id=id_col, text=text_col)
     known = only(labels, doc_id=id_col, label=label_col).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = d.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int"), "text", F.xxhash64("doc_id").alias("o"))
-    rows = rows.orderBy("o", "text").limit(2 * max_rows).select("label", "text")  # ids can repeat in docs
-    got = rows.mapInArrow(_featurize(BITS), "label int, buckets array<int>").toArrow()
-    return train([(np.asarray(b.values), y.as_py()) for y, b in zip(got.column(0), got.column(1), strict=True)])
+    rows = d.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int"), F.xxhash64("doc_id").alias("o"), F.xxhash64("text").alias("t"), "text")
+    rows = rows.mapInArrow(_featurize(BITS), "label int, o long, t long, own array<int>, x array<float>")
+    got = rows.orderBy("o", "t", "label").limit(max_rows).coalesce(1).mapInArrow(_train, "weights binary").collect()  # ids can repeat in docs
+    return np.frombuffer(got[0].weights, np.float32) if got else train([])
 
 
 def _scores(weights: np.ndarray, bits: int, text: str, keep: list[str]):

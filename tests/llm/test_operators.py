@@ -305,6 +305,17 @@ def test_quality(spark, empty):
     assert {r.score for r in quality.report(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_conflicting_labels_and_long_texts(spark):
+    """Equal rows with opposite labels train in one order however they are dealt; a text of 2 MB is one example."""
+    data = [(i, f"word{i % 3} other words here", 0.1) for i in range(40)] + [(40, "long " * 400_000, 0.2)]
+    labels = [(i, q) for i in range(41) for q in ((0, 1) if i % 2 else (i % 4 // 2,))]
+    weights = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(data, "doc_id long, text string, x double").repartition(parts)
+        weights.append(quality.fit(docs, spark.createDataFrame(labels[:: 1 if parts == 1 else -1], "doc_id long, quality int").repartition(parts)))
+    assert (weights[0] == weights[1]).all() and weights[0].any()
+
+
 def test_word_hashes():
     hasher = wordhash.WordHasher()
     texts = ["a b a", "", "  b\tlonger-word é ", None, "a"]
