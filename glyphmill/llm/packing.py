@@ -1,9 +1,10 @@
 """Sum-of-squares packing of tokenized documents into sequences.
 
 Tokenizing reads each text once and hands on only narrow rows (id, piece, length, checksum).
-Pieces of a full sequence stand alone; the others are packed in blocks of BLOCK_ROWS, each by
-one task: a block of this size wastes a few sequences at most, and no task grows with the
-corpus. Within a block, pieces go from long to short, so the packing does not depend on the
+Pieces of a full sequence stand alone and stream through; of a document at most the first
+piece is shorter, and these are packed in blocks of about BLOCK_ROWS, one at a time: a block of
+this size wastes a few sequences at most, and no task grows with the corpus. Equal rows travel
+as one with a count, dealt in lots of LOT. Within a block, pieces go from long to short, so the packing does not depend on the
 order in which rows arrive, and each goes to the gap that makes the sum of squared counts of
 open sequences per gap smallest (of equal gaps the tightest). A sequence is opened only for a
 piece that fits none: with the rule's usual freedom to open one earlier, 4 % more sequences
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,9 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-CAPACITY, END_ID, BLOCK_ROWS = 1024, 2, 65_536
+CAPACITY, END_ID, BLOCK_ROWS, LOT = 1024, 2, 65_536, 4096
+#: Longer runs of blanks or of other characters go to the library without recursion over them.
+_LONG_RUN = 10_000
+_RUN = re.compile(rf"\s{{{_LONG_RUN}}}|\S{{{_LONG_RUN}}}")
 TOKENIZER = "byte_bpe_50k.json"
 
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -44,7 +50,8 @@ class Encoder:
     """Ids as the tokenizer gives them.
 
     Texts go through the faster of the two installed BPE libraries if the vocabulary numbers
-    tokens in the order of its merges, as ranks do, and the text holds no added token.
+    tokens in the order of its merges, as ranks do, and the text holds no added token and no
+    very long run of blanks or of other characters (on which that library overflows its stack).
     """
 
     def __init__(self, path: str):
@@ -72,7 +79,7 @@ class Encoder:
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self._ranks is None or any(a in text for a in self._added):
+        if self._ranks is None or any(a in text for a in self._added) or (len(text) >= _LONG_RUN and _RUN.search(text)):
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self._ranks.encode_ordinary(text), dtype="<u4")
 
@@ -114,9 +121,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         if s == capacity:
             number[i], offset[i], made = made, 0, made + 1
             continue
-        # Change of the sum of squares if the piece goes to gap g: 2 * (1 - N(g) + N(g - s)), the last term not for g = s.
-        change = 1 - gaps[s:capacity] + gaps[: capacity - s]
-        change[0] = -gaps[s]
+        # Change of the sum of squares if the piece goes to gap g: 2 * (1 - N(g) + N(g - s)); 1 - 2 * N(s) for g = s.
+        change = 2 * (1 - gaps[s:capacity] + gaps[: capacity - s])
+        change[0] = 1 - 2 * gaps[s]
         change[gaps[s:capacity] == 0] = np.iinfo(np.int64).max
         best = int(change.argmin()) if len(change) else -1
         if best >= 0 and gaps[s + best]:
@@ -133,18 +140,39 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def _pack(capacity: int):
+    """Rows sorted by block; below 0 are those of full pieces."""
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+
+    def told(t: pa.Table, copies: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out = t.select(names).take(pa.array(np.repeat(np.arange(t.num_rows), copies)))
+        yield from out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches(max_chunksize=10_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        blocks = t.column("block").to_numpy()
-        for start, end in _runs(blocks):
-            part = t.slice(start, end - start)
-            number, offset = sum_of_squares(part.column("length").to_numpy(), capacity)
-            out = part.drop_columns(["block"])
-            out = out.append_column("sequence_id", pa.array((np.int64(blocks[start]) << 32) + number)).append_column("offset", pa.array(offset))
-            yield from out.to_batches(max_chunksize=10_000)
+        full: dict[int, int] = {}  # pieces so far of each block of full pieces
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            t, copies = pa.Table.from_batches(held), np.concatenate([b.column("copies").to_numpy() for b in held])
+            number, offset = sum_of_squares(np.repeat(t.column("length").to_numpy(), copies), capacity)
+            yield from told(t, copies, (np.int64(t.column("block")[0].as_py()) << 32) + number, offset)
+            held.clear()
+
+        for batch in batches:
+            for start, end in _runs(batch.column("block").to_numpy()) if batch.num_rows else ():
+                part = batch.slice(start, end - start)
+                block = part.column("block")[0].as_py()
+                if held and held[0].column("block")[0].as_py() != block:
+                    yield from packed()
+                if block >= 0:
+                    held.append(part)
+                    continue
+                copies = part.column("copies").to_numpy()
+                first, n = full.get(block, 0), int(copies.sum())
+                full[block] = first + n
+                number = (np.int64(1) << 62) + (np.int64(-1 - block) << 36) + first + np.arange(n)
+                yield from told(pa.Table.from_batches([part]), copies, number, np.zeros(n, np.int64))
+        if held:
+            yield from packed()
 
     return run
 
@@ -161,15 +189,20 @@ def pack(
 
     A null text counts as empty: the end id alone. Repeated rows are packed each. Null ids stay
     null. An empty table gives no rows. Other columns are not read. A text of more than
-    capacity ids is cut; its first piece has the rest.
+    capacity ids is cut; its first piece has the rest. Texts of any length and of any
+    characters, with runs of one character of any length, give the tokenizer's ids.
     """
     d = only(docs, doc_id=id_col, text=text_col)
-    blocks = max(1, round(d.count() / BLOCK_ROWS))
+    blocks = max(1, round(d.count() / BLOCK_ROWS))  # of a document at most one piece is no full one
     id_type = dict(d.dtypes)["doc_id"]
     narrow = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
     pieces = d.mapInArrow(_pieces(tokenizer or tokenizer_path(), capacity, end_id), narrow)
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
-    dealt = pieces.repartition(blocks, "block").sortWithinPartitions("block", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    pieces = pieces.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.count("*").alias("n"))
+    pieces = pieces.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {LOT}"))))
+    pieces = pieces.withColumn("copies", F.least(F.col("n") - F.col("lot") * LOT, F.lit(LOT))).drop("n")
+    place = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "lot"), F.lit(blocks)).cast("int")
+    pieces = pieces.withColumn("block", F.when(F.col("length") == capacity, -1 - place).otherwise(place))
+    dealt = pieces.repartition(blocks, "block").sortWithinPartitions("block", F.desc("length"), "doc_id", "piece", "ids_crc32", "lot")
     return dealt.mapInArrow(_pack(capacity), narrow + ", sequence_id long, offset long")
 
 

@@ -179,6 +179,62 @@ def test_encoder_with_added_tokens():
         assert e(x).tolist() == tk.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a", "7", "-=", "é"])
+def test_encoder_on_very_long_runs(run):
+    """Runs of one kind of characters, of 2 MB and about the length where the library changes."""
+    from tokenizers import Tokenizer
+
+    e, tk = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    for n in (packing._LONG_RUN - 1, packing._LONG_RUN, 2_000_000):
+        x = f"some words {run * (n // len(run))} and more"
+        assert e(x).tolist() == tk.encode(x, add_special_tokens=False).ids
+
+
+def _plain_rule(lengths, capacity):
+    """The placement rule by trying every open sequence."""
+    used, out = [], []
+    for s in lengths:
+        gaps = Counter(capacity - u for u in used if 0 < capacity - u < capacity)
+        best = None
+        for b, u in enumerate(used):
+            g = capacity - u
+            if g >= s:
+                after = gaps.copy()
+                after[g] -= 1
+                if g > s:
+                    after[g - s] += 1
+                cost = (sum(v * v for v in after.values()), g)
+                if best is None or cost < best[0]:
+                    best = (cost, g)
+        out.append(None if best is None else best[1])
+        if best is None:
+            used.append(s)
+        else:
+            used[next(b for b, u in enumerate(used) if capacity - u == best[1])] += s
+    return out
+
+
+def test_sum_of_squares_rule():
+    """The gap chosen for each piece is the one that trying all of them finds."""
+    for k in range(60):
+        lengths = sorted((R.randrange(1, 21) for _ in range(R.randrange(1, 60))), reverse=k % 2 == 0)
+        _, offset = packing.sum_of_squares(np.array(lengths), 20)
+        assert [None if o == 0 else 20 - o for o in offset.tolist()] == _plain_rule(lengths, 20)
+
+
+def test_packing_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LOT", 16)
+    data = [(1, "same words here")] * 300 + [(2, "word " * 3000)] * 3 + [(3, " " * 1_000_000), (None, None)]
+    out = packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    held = defaultdict(list)
+    for r in out:
+        held[r.sequence_id].append((r.offset, r.length))
+    for own in held.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(n for _, n in own) <= 1024
+    assert Counter(r.doc_id for r in out)[1] == 300 and Counter(r.doc_id for r in out)[2] == 9 and sum(r.doc_id is None for r in out) == 1
+
+
 def test_sum_of_squares():
     number, offset = packing.sum_of_squares(np.array([6, 5, 5, 4, 10]), 10)
     assert number.tolist() == [0, 1, 1, 0, 2] and offset.tolist() == [0, 0, 5, 6, 0]
