@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars, all in DataFrame operations.
 
-Each round is two aggregations with a join each and is written to the shared folder, so no
-lineage grows and no edge reaches the driver. Stars with very many points are aggregated map
-side first; their joins are splittable by the adaptive planner.
+Each step is one aggregation (combined map side, so a star with very many points moves one row
+per task) and one join of two tables of the shared folder, so no lineage grows, no edge
+reaches the driver, and the adaptive planner can split the rows of a very large star: it does
+so only where both sides of a join are plain exchanges.
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ from pyspark.sql import functions as F
 from .common import Spool
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a > b) relinked to the smallest neighbour: of larger neighbours, or of smaller ones and itself."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.filter(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    j = edges.join(low, "a")
-    moved = j.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _low(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
+
+
+def _large(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges (a > b) relinked from b to the smallest neighbour of b, which is b itself where it has no smaller one."""
+    j = edges.join(low.select(F.col("a").alias("b"), "m"), "b", "left")
+    return j.select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def _small(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Smaller neighbours of a node, and the node itself, relinked to the smallest of them."""
+    moved = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -30,11 +35,14 @@ def connected(edges: DataFrame, spool: Spool, name: str) -> DataFrame:
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, before, i = spool.put(e, f"{name}-0"), None, 0
     while True:
-        e = spool.put(_star(_star(e, True).filter("a <> b"), False), f"{name}-{i + 1}")
-        spool.drop(f"{name}-{i}")
-        i += 1
+        for step in (_large, _small):
+            low = spool.put(_low(e), f"{name}-low-{i}")
+            e = spool.put(step(e, low), f"{name}-{i + 1}")
+            spool.drop(f"{name}-low-{i}")
+            spool.drop(f"{name}-{i}")
+            i += 1
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -9,16 +9,23 @@ the matrix with its transpose holds all overlaps. It is never formed whole:
    fifth of the columns, by hash, goes first, of them those of one class only, then by
    frequency. So the few columns that decide are rare ones, and frequencies of a fifth of the
    columns suffice; a row whose first columns are its own has no partner.
-3. Classes that share such a column, directly or through others, make a cluster; clusters are
-   cut into blocks of BLOCK_SHINGLES, and each pair of blocks is one block of the product.
+3. Classes that share such a column, directly or through others, make a cluster. A cluster
+   beyond BLOCK_SHINGLES is cut by size of row, so that partners lie in the same or in
+   neighbouring bands, and each band into blocks; each pair of blocks of the same or of
+   neighbouring bands is one block of the product, the others are excluded by the size bounds.
 4. In a block, overlap counts of one row at a time accumulate from postings, pairs outside the
    size bounds are discarded, and rows already linked are skipped; so a group of very many near
    copies costs links, not pairs.
 5. Links of all blocks are joined to components.
+
+Rows are told apart by a key of their own, the hash of id and text, so null and repeated ids
+take part like any other. Tables that meet very common keys are joined as written tables,
+which lets the adaptive planner split the key's rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,9 +95,9 @@ def _signatures(shingle: int, percent: int):
                     early.append(len(own))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 values = np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64)
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(early, pa.int32())]
+                columns = [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(early, pa.int32())]
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cid", "early", "grams"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rk", "n", "cid", "early", "grams"])
 
     return run
 
@@ -135,13 +142,19 @@ def link_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return group
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, once: int | None = None) -> Iterator[pa.Table]:
     """Tables of equal values in the first key columns, of batches sorted by them."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last = last_once = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        if once is not None:  # of rows that follow each other with equal keys and this column, only the first is held
+            c = batch.column(once).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(np.append(c[0] != last_once, c[1:] != c[:-1])))
+            last_once = c[-1]
+            if not batch.num_rows:
+                continue
         k = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
         edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -158,11 +171,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def _link(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
-        for t in _groups(batches, 3):
+        for t in _groups(batches, 3, once=3):
             expected = t.column("cid").to_pylist()
             sets, cids = [], []
             for cid, grams in zip(expected, shingler.column(t.column("text").combine_chunks()), strict=True):
-                if class_of(grams) == cid and cid not in cids[-1:]:  # an id can repeat with other texts
+                if class_of(grams) == cid and cid not in cids[-1:]:  # rows can repeat
                     sets.append(grams)
                     cids.append(cid)
             if len(sets) < 2:
@@ -182,8 +195,8 @@ def _clusters(sigs: DataFrame, spool: Spool, percent: int) -> DataFrame:
     frequency = known.select("cid", F.explode_outer("grams").alias("gram")).groupBy("gram").agg(
         F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("df")
     )
-    common = frequency.filter(F.col("lo") != F.col("hi")).select("gram", "df")
-    rows = known.select("cid", "n", "early", F.posexplode_outer("grams").alias("pos", "gram")).join(common, "gram")
+    common = spool.put(frequency.filter(F.col("lo") != F.col("hi")).select("gram", "df"), "common")
+    rows = known.select("cid", "n", "early", F.posexplode_outer("grams").alias("pos", "gram")).join(common, "gram").repartition("cid")
     rows = rows.groupBy("cid", "gram").agg(*[F.first(c).alias(c) for c in ("n", "early", "pos", "df")])  # copies of a class
     is_early = (F.col("pos") < F.col("early")).alias("e")
     rows = rows.select("*", is_early)
@@ -191,11 +204,35 @@ def _clusters(sigs: DataFrame, spool: Spool, percent: int) -> DataFrame:
     rank = F.when(F.col("e"), F.col("early") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "gram")) - 1).otherwise(F.col("pos"))
     deciding = rows.withColumn("rank", rank).filter(F.col("rank") < F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1)
     deciding = spool.put(deciding.select("gram", "cid"), "deciding")
-    leaders = deciding.groupBy("gram").agg(F.min("cid").alias("leader"))
+    spool.drop("common")
+    leaders = spool.put(deciding.groupBy("gram").agg(F.min("cid").alias("leader"), F.count("*").alias("k")).filter("k > 1").drop("k"), "leaders")
     edges = deciding.join(leaders, "gram").filter("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b"))
     return connected(edges, spool, "clusters").select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
 
 
+def _cells(members: DataFrame, spool: Spool, percent: int) -> DataFrame:
+    """cluster, i, j (a block of the product), cid, rk: where each class takes part.
+
+    The bands of a cluster are few (a size grows by a fixed factor from one to the next), so
+    their numbers of blocks fit in a map.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(100 / percent))).cast("long") if percent < 100 else F.col("n")
+    sized = members.groupBy("cluster", band.alias("band")).agg(F.sum("n").alias("weight"))
+    entry = F.struct("band", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("long").alias("nb"))
+    wide = sized.groupBy("cluster").agg(F.sum("weight").alias("all"), F.map_from_entries(F.collect_list(entry)).alias("nb"))
+    wide = spool.put(wide.filter(F.col("all") > BLOCK_SHINGLES).select("cluster", "nb"), "wide")
+    m = members.join(wide, "cluster", "left").withColumn("band", band)
+    blocks = lambda d: F.coalesce(F.try_element_at("nb", F.col("band") + d), F.lit(0).cast("long"))
+    number = lambda band, b: F.shiftleft(band, 32) + b
+    side = lambda d: F.when(
+        blocks(d) > 0, F.transform(F.sequence(F.lit(0).cast("long"), blocks(d) - 1), lambda b: number(F.col("band") + d, b))
+    ).otherwise(F.array().cast("array<bigint>"))
+    own = F.when(F.col("nb").isNull(), F.lit(0).cast("long")).otherwise(number(F.col("band"), F.pmod(F.xxhash64("cid"), blocks(0))))
+    others = F.when(F.col("nb").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.concat(side(-1), side(0), side(1)))
+    m = m.select("cluster", "cid", "rk", own.alias("own"), F.explode(others).alias("o"))
+    return m.select("cluster", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cid", "rk")
+
+
 def components(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -204,31 +241,32 @@ def components(
     Two documents link when 100 * |A & B| >= percent * |A or B| of their distinct shingles. A
     text of fewer words than a shingle is one shingle; a null text or one without words has
     none and links with nothing. component_id is the smallest id reachable by links; a null id
-    stays null and takes part by its text. Equal ids with other texts are documents of their
-    own. Repeated rows are copies. An empty table gives no rows. Other columns are not read.
+    stays null and takes part by its text, also as the only bridge between others; a component
+    of null ids alone has none. Equal ids with other texts are documents of their own. Repeated
+    rows are copies. An empty table gives no rows. Other columns are not read.
     """
     spool = Spool(docs.sparkSession, "jaccard")
-    d = only(docs, doc_id=id_col, text=text_col)
+    d = only(docs, doc_id=id_col, text=text_col).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
     id_type = dict(d.dtypes)["doc_id"]
-    sigs = spool.put(d.mapInArrow(_signatures(shingle, percent), f"doc_id {id_type}, n long, cid long, early int, grams array<long>"), "signatures")
+    sigs = spool.put(d.mapInArrow(_signatures(shingle, percent), f"doc_id {id_type}, rk long, n long, cid long, early int, grams array<long>"), "signatures")
     clusters = spool.put(_clusters(sigs, spool, percent), "clusters")
-    narrow = sigs.select("doc_id", "n", "cid")
-    members = narrow.join(clusters, "cid").groupBy("cid", "cluster").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = spool.put(members, "members")
-    blocks = members.groupBy("cluster").agg(F.sum("n").alias("weight"))
-    blocks = blocks.select("cluster", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("nb"))
-    placed = members.join(blocks, "cluster").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    placed = spool.put(placed, "placed")
-    texts = d.join(placed.filter("n > 0").select("doc_id", "cid", "cluster", "b", "nb"), "doc_id")
-    pair = texts.withColumn("o", F.explode_outer(F.sequence(F.lit(0), F.col("nb") - 1)))
-    pair = pair.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "cid", "text")
-    dealt = pair.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "cid")
+    narrow = sigs.select("doc_id", "rk", "n", "cid")
+    classes = narrow.filter(F.col("n") > 0).groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.first("n").alias("n"))
+    classes = spool.put(classes, "classes")
+    members = spool.put(classes.join(clusters, "cid").select("cid", "rk", "n", "cluster"), "members")
+    cells = spool.put(_cells(members, spool, percent), "cells")
+    texts = d.select("rk", "text").join(cells, "rk").select("cluster", "i", "j", "cid", "text")
+    dealt = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "cid")
     with sifted(spool.spark):  # most documents have no possible partner
         links = spool.put(dealt.mapInArrow(_link(shingle, percent), "a long, b long"), "links")
-    roots = connected(links, spool, "components").select(F.col("node").alias("cid"), "root")
-    full = narrow.join(roots, "cid", "left").select("doc_id", "n", F.coalesce("root", "cid").alias("key"))
-    least = full.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"))
-    return full.join(least, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    roots = spool.put(connected(links, spool, "components").select(F.col("node").alias("cid"), "root"), "roots")
+    keyed = spool.put(classes.join(roots, "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("key")), "keyed")
+    least = spool.put(keyed.groupBy("key").agg(F.min("least").alias("component_id")), "least")
+    labels = spool.put(keyed.join(least, "key").select("cid", "component_id"), "labels")
+    for name in ("clusters", "members", "cells", "wide", "links", "roots", "keyed", "least", "classes", "deciding", "leaders"):
+        spool.drop(name)
+    out = narrow.join(labels, "cid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -326,6 +326,20 @@ def test_jaccard(docs, empty, block, monkeypatch):
     assert jaccard_join.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [2_000_000, 100])
+def test_jaccard_bridges_and_repeated_ids(spark, block, monkeypatch):
+    """A row without an id is the only link between two others; one id on very many texts is that of documents of their own."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    w = [f"w{i}" for i in range(400)]
+    chain = [" ".join(w[a : a + 100]) for a in (0, 6, 12)]  # neighbours share 91 of 103 shingles, the ends 85 of 109
+    other = [" ".join(w[200 + a : 300 + a]) for a in (0, 6)]
+    data = [(1, chain[0]), (None, chain[1]), (2, chain[2]), (7, other[0]), (7, other[1]), (None, "alone without id")] + [(9, f"text {i} of one id {i}") for i in range(60)]
+    for order in (1, -1):
+        out = jaccard_join.report(spark.createDataFrame(data[::order], "doc_id long, text string").repartition(3)).collect()
+        by = sorted((r.doc_id or 0, r.component_id or 0) for r in out)
+        assert by == [(0, 0), (0, 1), (1, 1), (2, 1), (7, 7), (7, 7)] + [(9, 9)] * 60
+
+
 def test_link_block():
     for _ in range(60):
         base = [set(R.sample(range(60), R.randrange(1, 30))) for _ in range(4)]
