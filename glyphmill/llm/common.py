@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_OPEN: list[Spool] = []
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -47,6 +48,7 @@ class Spool:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/spool/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.root)
+        _OPEN.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back; what the write shuffled is given free at once."""
@@ -68,6 +70,17 @@ class Spool:
         _delete(self.spark, self.root)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, all spools made inside: for work whose result has been written elsewhere."""
+    mark = len(_OPEN)
+    try:
+        yield
+    finally:
+        while len(_OPEN) > mark:
+            _OPEN.pop().close()
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """SQL settings for the jobs run inside; names with __ for dots."""
