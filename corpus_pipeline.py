@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontam, jaccard_join, line_dedup, packing, quality
-from glyphmill.llm.common import Spool, table
+from glyphmill.llm.common import Spool, scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -67,5 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     spool = Spool(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES[:-1]):
-        docs = spool.put(stage(spark, docs, sf_dir), f"{i}-{name}")
+        with scratch():
+            docs = spool.put(stage(spark, docs, sf_dir), f"{i}-{name}")
+        if i:
+            spool.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
