@@ -211,7 +211,7 @@ def _clusters(sigs: DataFrame, spool: Spool, percent: int) -> DataFrame:
 
 
 def _cells(members: DataFrame, spool: Spool, percent: int) -> DataFrame:
-    """cluster, i, j (a block of the product), cid, rk: where each class takes part.
+    """cluster, i, j (a block of the product), cid, rk, n: where each class takes part.
 
     The bands of a cluster are few (a size grows by a fixed factor from one to the next), so
     their numbers of blocks fit in a map.
@@ -229,8 +229,8 @@ def _cells(members: DataFrame, spool: Spool, percent: int) -> DataFrame:
     ).otherwise(F.array().cast("array<bigint>"))
     own = F.when(F.col("nb").isNull(), F.lit(0).cast("long")).otherwise(number(F.col("band"), F.pmod(F.xxhash64("cid"), blocks(0))))
     others = F.when(F.col("nb").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.concat(side(-1), side(0), side(1)))
-    m = m.select("cluster", "cid", "rk", own.alias("own"), F.explode(others).alias("o"))
-    return m.select("cluster", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cid", "rk")
+    m = m.select("cluster", "cid", "rk", "n", own.alias("own"), F.explode(others).alias("o"))
+    return m.select("cluster", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cid", "rk", "n")
 
 
 def components(
@@ -255,7 +255,8 @@ def components(
     classes = spool.put(classes, "classes")
     members = spool.put(classes.join(clusters, "cid").select("cid", "rk", "n", "cluster"), "members")
     cells = spool.put(_cells(members, spool, percent), "cells")
-    texts = d.select("rk", "text").join(cells, "rk").select("cluster", "i", "j", "cid", "text")
+    # The comparison tells the planner that these keys are few, without which it makes no filter of them.
+    texts = d.select("rk", "text").join(cells.filter("n > 0"), "rk").select("cluster", "i", "j", "cid", "text")
     dealt = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "cid")
     with sifted(spool.spark):  # most documents have no possible partner
         links = spool.put(dealt.mapInArrow(_link(shingle, percent), "a long, b long"), "links")
