@@ -1,86 +1,142 @@
-"""Suffixes of a text in order, with common-prefix lengths, by induced sorting over queues.
-
-Suffixes that begin a rise (LMS) are sorted first, on the reduced string of the names of the
-pieces between them; from them the falling (L) suffixes are induced in ascending and the
-rising (S) ones in descending order. Both inductions pop suffix tuples (position, common
-prefix with the one before) from a priority queue. A tuple's priority is its first byte and
-then its turn, so the queue is a lane per byte, first in, first out; what lanes hold beyond a
-limit lies in temporary files, which vanish with the process. Common prefixes are carried
-through: of two suffixes induced one after the other into a lane, it is one more than the
-smallest met since. Whole runs of a lane are handled as arrays.
-
-Order and prefixes are exact up to DEPTH bytes, which is all that callers ask for.
+"""Suffixes of a text in order, with common-prefix lengths, by external induced sorting.
+
+Suffixes that begin a rise (LMS) are sorted first; from them the falling (L) suffixes are
+induced in ascending and the rising (S) ones in descending order. Both inductions pop suffix
+tuples (position, common prefix with the one before) from a priority queue. A tuple's priority
+is its first symbol and then its turn, so the queue is a lane per symbol, first in, first out.
+Common prefixes are carried through: of two suffixes induced one after the other into a lane,
+it is one more than the smallest met since. Whole runs of a lane are handled as arrays.
+
+LMS suffixes are sorted by recursion: an induction from unsorted LMS places brings the pieces
+between them into order, equal pieces get equal names, and the suffixes of the string of names
+(written in symbols of 16 bits) are sorted the same way. The recursion ends where the LMS
+places of a level fit in memory; those are sorted there by doubling.
+
+A text of more than `limit` symbols is held on disk with all that grows with it: its symbols,
+their kinds, the LMS places, their order and names, and what queue lanes and falling tuples
+hold beyond the limit. Files are unlinked temporary ones, so they vanish with the process. The
+memory used depends on the limit and on the number of different symbols, not on the text.
+
+Order and prefixes are exact up to DEPTH symbols, which is all that callers ask for.
 """
 
 from __future__ import annotations
 
+import bisect
 import tempfile
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 DEPTH, MEMORY_TUPLES, CHUNK_TUPLES = 208, 8_000_000, 500_000
 _FAR = np.int16(DEPTH)
+Chunks = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def disk_array(n: int, dtype: type | str, limit: int) -> np.ndarray:
+    """Zeros: in memory up to the limit, else in an unlinked file."""
+    if n <= limit:
+        return np.zeros(n, dtype)
+    f = tempfile.TemporaryFile()  # noqa: SIM115  lives as long as the array's map of it
+    f.truncate(n * np.dtype(dtype).itemsize)
+    return np.memmap(f, dtype, "r+", shape=(n,))
+
+
+def _pieces(n: int, size: int = CHUNK_TUPLES) -> Iterator[tuple[int, int]]:
+    for a in range(0, n, size):
+        yield a, min(n, a + size)
 
 
 class Lanes:
-    """The priority queue: per first byte, tuples in the order of arrival, spilled beyond a limit."""
+    """The priority queue: per first symbol, tuples in the order of arrival; beyond a limit all go to disk."""
 
     def __init__(self, limit: int = MEMORY_TUPLES):
-        self._held: list[list] = [[] for _ in range(256)]
-        self._limit, self._in_memory = limit, 0
+        self._held: dict[int, list] = defaultdict(list)
+        self._disk: dict[int, deque] = defaultdict(deque)
+        self._limit, self._in_memory, self._file, self._end = max(1, limit), 0, None, 0
+        self.most = 0  # tuples in memory at most
 
     def push(self, lane: int, positions: np.ndarray, common: np.ndarray) -> None:
-        if not len(positions):
-            return
-        self._held[lane].append((positions, common))
-        self._in_memory += len(positions)
-        if self._in_memory > self._limit:
-            self._spill(max(range(256), key=lambda c: sum(len(x[0]) for x in self._held[c] if isinstance(x, tuple))))
-
-    def _spill(self, lane: int) -> None:
-        kept = []
-        for x in self._held[lane]:
-            if isinstance(x, tuple):
-                f = tempfile.TemporaryFile()  # noqa: SIM115  closed when popped
-                for a in x:
-                    np.save(f, a)
-                self._in_memory -= len(x[0])
-                x = f
-            kept.append(x)
-        self._held[lane] = kept
-
-    def _load(self, x) -> tuple[np.ndarray, np.ndarray]:
-        if isinstance(x, tuple):
-            self._in_memory -= len(x[0])
-            return x
-        with x:
-            x.seek(0)
-            return np.load(x), np.load(x)
-
-    def pop(self, lane: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in _pieces(len(positions), self._limit):
+            self._held[lane].append((positions[a:b], common[a:b]))
+            self._in_memory += b - a
+            self.most = max(self.most, self._in_memory)
+            if self._in_memory >= self._limit:
+                self._flush()
+
+    def _flush(self) -> None:
+        self._file = self._file or tempfile.TemporaryFile()  # noqa: SIM115
+        self._file.seek(self._end)
+        for lane, parts in self._held.items():
+            positions, common = (np.concatenate(x) for x in zip(*parts, strict=True))
+            self._file.write(positions.astype(np.int64).tobytes())
+            self._file.write(common.astype(np.int16).tobytes())
+            self._disk[lane].append((self._end, len(positions)))
+            self._end += 10 * len(positions)
+        self._held.clear()
+        self._in_memory = 0
+
+    def _load(self, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        self._file.seek(at)
+        return np.frombuffer(self._file.read(8 * n), np.int64), np.frombuffer(self._file.read(2 * n), np.int16)
+
+    def _take(self, lane: int) -> list:
+        parts = self._held.pop(lane, [])
+        self._in_memory -= sum(len(p) for p, _ in parts)
+        return parts
+
+    def pop(self, lane: int) -> Chunks:
         """Chunks until the lane stays empty; what is pushed meanwhile comes last."""
-        while self._held[lane]:
-            now, self._held[lane] = self._held[lane], []
-            while now:
-                some, size = [], 0
-                while now and size < CHUNK_TUPLES:
-                    some.append(self._load(now.pop(0)))
-                    size += len(some[-1][0])
-                yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
-
-
-def rising(t: np.ndarray) -> np.ndarray:
+        while True:
+            some, size = [], 0
+            while self._disk[lane] and size < CHUNK_TUPLES:
+                some.append(self._load(*self._disk[lane].popleft()))
+                size += len(some[-1][0])
+            some = some or self._take(lane)
+            if not some:
+                return
+            yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
+
+    def back(self, lane: int) -> Chunks:
+        """Chunks from the last to the first, each in its own order."""
+        yield from self._take(lane)[::-1]
+        while self._disk[lane]:
+            yield self._load(*self._disk[lane].pop())
+
+
+def rising(t: np.ndarray, limit: int = MEMORY_TUPLES) -> np.ndarray:
     """Whether the suffix at each place is smaller than the next one; the last place counts as rising."""
     n = len(t)
-    up = np.zeros(n, bool)
-    differs = np.append(t[:-1] != t[1:], True)
-    nearest = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]  # first place from here on where bytes differ
-    up[:-1] = np.where(nearest[:-1] < n - 1, t[nearest[:-1]] < t[np.minimum(nearest[:-1] + 1, n - 1)], False)
-    up[-1] = True
+    up = disk_array(n, bool, limit)
+    up[n - 1], carried, after = True, True, t[n - 1]
+    for a, b in reversed(list(_pieces(n - 1))):
+        own = np.append(t[a:b], after)
+        here, there = own[:-1], own[1:]
+        nearest = np.minimum.accumulate(np.where(here != there, np.arange(b - a), b - a)[::-1])[::-1]  # first place from here on where symbols differ
+        up[a:b] = np.append(here < there, carried)[nearest]
+        carried, after = up[a], here[0]
     return up
 
 
+def _run(t: np.ndarray, at: int) -> int:
+    """How often the symbol at the place repeats from there on, at most DEPTH."""
+    own = np.asarray(t[at : at + DEPTH])
+    other = np.flatnonzero(own != own[0])
+    return int(other[0]) if len(other) else len(own)
+
+
+def _lms(up: np.ndarray, limit: int) -> np.ndarray:
+    starts = lambda a, b: np.flatnonzero(up[a:b] & ~up[a - 1 : b - 1]) + a
+    spans = [(max(a, 1), b) for a, b in _pieces(len(up))]
+    out, at = disk_array(sum(len(starts(a, b)) for a, b in spans), np.int64, limit), 0
+    for a, b in spans:
+        own = starts(a, b)
+        out[at : at + len(own)] = own
+        at += len(own)
+    return out
+
+
 def _refine(rank: np.ndarray, word: np.ndarray, some: np.ndarray) -> None:
     """Splits groups of equal rank by word, for the rows of whole groups. Ranks are where a group begins in the order."""
     pick = np.lexsort((word, rank[some]))
@@ -98,28 +154,26 @@ def _tied(rank: np.ndarray) -> np.ndarray:
     return np.flatnonzero(counts[rank] > 1)
 
 
-def lms_order(t: np.ndarray, up: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """LMS suffixes in order: names of their pieces, then the reduced string by doubling."""
-    if not len(lms):
-        return lms
-    code = np.concatenate([(t.astype(np.int64) << 1) | up, np.zeros(7, np.int64)])
-    word = code[: len(t)].copy()
-    for k in range(1, 7):
-        word = (word << 9) | code[k : k + len(t)]
-    length = np.append(np.diff(lms) + 1, 1)  # a piece reaches to the next one's first byte
-    most = int(length.max())
+def _order_in_memory(t: np.ndarray, up: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The end of the recursion: names of pieces by several symbols at a time, then the string of names by doubling."""
+    bits = 8 * t.dtype.itemsize + 1
+    per = 63 // bits
+    length = np.append(np.diff(lms) + 1, 1)  # a piece reaches to the next one's first symbol
+    most = min(int(length.max()), DEPTH)
 
     def part(rows: np.ndarray, j: int) -> np.ndarray:
-        left = np.clip(length[rows] - 7 * j, 0, 7)
-        at = np.minimum(lms[rows] + 7 * j, len(t) - 1)
-        return np.where(left > 0, word[at] >> (9 * (7 - left)) << (9 * (7 - left)), 0)
+        word = np.zeros(len(rows), np.int64)
+        for k in range(per * j, per * (j + 1)):
+            at = np.minimum(lms[rows] + k, len(t) - 1)
+            word = (word << bits) | np.where(k < length[rows], (t[at].astype(np.int64) << 1) | up[at], 0)
+        return word
 
     rank = np.zeros(len(lms), np.int64)
     _refine(rank, part(np.arange(len(lms)), 0), np.arange(len(lms)))
-    for j in range(1, -(-most // 7)):
+    for j in range(1, -(-most // per)):
         tied = _tied(rank)
         longer = np.zeros(len(lms), bool)
-        longer[rank[tied[length[tied] > 7 * j]]] = True
+        longer[rank[tied[length[tied] > per * j]]] = True
         tied = tied[longer[rank[tied]]]
         if not len(tied):
             break
@@ -132,13 +186,70 @@ def lms_order(t: np.ndarray, up: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return lms[np.argsort(rank, kind="stable")]
 
 
-def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in order, at most DEPTH."""
-    padded = np.concatenate([t, np.zeros(DEPTH + 16, np.uint8)])
+def _same_pieces(t: np.ndarray, a: np.ndarray, b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> np.ndarray:
+    """Whether the pieces at a and b are equal, over DEPTH symbols at most."""
+    same = length_a == length_b
+    rows = np.flatnonzero(same)
+    for k in range(DEPTH):
+        rows = rows[length_a[rows] > k]
+        if not len(rows):
+            break
+        equal = t[a[rows] + k] == t[b[rows] + k]
+        same[rows[~equal]] = False
+        rows = rows[equal]
+    return same
+
+
+def _order_by_recursion(t: np.ndarray, up: np.ndarray, lms: np.ndarray, symbols: np.ndarray, limit: int) -> np.ndarray:
+    """LMS suffixes in order, all that grows with them on disk."""
+    m, n = len(lms), len(t)
+    places = Lanes(limit // 2)
+    for a, b in _pieces(m):
+        own = lms[a:b]
+        first = t[own]
+        by = np.argsort(first, kind="stable")
+        found, begin = np.unique(first[by], return_index=True)
+        for c, i, j in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), b - a], strict=True):
+            places.push(c, own[by[i:j]], np.zeros(j - i, np.int16))
+    names, order, told, before, name = disk_array(m, np.int64, limit), disk_array(m, np.int64, limit), m, None, 0
+    for positions, _ in _induce(t, up, symbols, places.pop, limit, prefixes=False):
+        own = positions[up[positions] & ~up[np.maximum(positions - 1, 0)] & (positions > 0)]
+        if not len(own):
+            continue
+        row = np.searchsorted(lms, own)
+        length = np.where(row + 1 < m, lms[np.minimum(row + 1, m - 1)] - own + 1, 1)
+        left, left_length = (own[:1], length[:1]) if before is None else before
+        same = _same_pieces(t, own, np.append(left, own[:-1]), length, np.append(left_length, length[:-1]))
+        same[0] &= before is not None
+        number = name + np.cumsum(~same)
+        names[row] = number
+        order[told - len(own) : told] = own[::-1]
+        told, name, before = told - len(own), int(number[-1]), (own[-1:], length[-1:])
+    if name == m:
+        return order  # all pieces differ
+    # Names run down from the largest piece's 1 to name; a symbol 0 ends the string.
+    wide = 2 if name > 65_535 and 2 * m < 0.75 * n else 1
+    kind = np.uint16 if name <= 65_535 or wide == 2 else np.uint32
+    string = disk_array(wide * m + 1, kind, limit)
+    for a, b in _pieces(m):
+        own = name + 1 - names[a:b]
+        if wide == 2:
+            string[2 * a : 2 * b : 2], string[2 * a + 1 : 2 * b : 2] = own // 65_535 + 1, own % 65_535 + 1
+        else:
+            string[a:b] = own
+    del names
+    told = m
+    for positions, _ in sorted_suffixes(string, limit, prefixes=False):
+        own = positions[(positions % wide == 0) & (positions < wide * m)] // wide
+        order[told - len(own) : told] = lms[own][::-1]
+        told -= len(own)
+    return order
+
+
+def common_prefixes(padded: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at a and b share, at most DEPTH; padded: the text and DEPTH + 16 bytes more."""
     words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
-    out = np.zeros(len(order), np.int16)
-    rows = np.arange(1, len(order))
-    a, b = order[:-1], order[1:]
+    out, rows = np.zeros(len(a), np.int16), np.arange(len(a))
     for at in range(0, DEPTH, 8):
         x = words[a + at] ^ words[b + at]
         same = x == 0
@@ -152,96 +263,130 @@ def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.minimum(out, _FAR)
 
 
-def _run_lengths(t: np.ndarray) -> np.ndarray:
-    """How often the byte at each place repeats from there on, at most DEPTH."""
-    n = len(t)
-    differs = np.append(t[:-1] != t[1:], True)
-    nearest = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
-    return np.minimum(nearest - np.arange(n) + 1, DEPTH).astype(np.int16)
-
-
 class _Induction:
-    """Pushes the suffixes one place to the left of those scanned."""
+    """Pushes the suffixes one place to the left of those scanned, if of the wanted kind."""
 
-    def __init__(self, t: np.ndarray, wanted: np.ndarray, lanes: Lanes):
-        self._t, self._wanted, self._lanes = t, wanted, lanes
-        self._least = np.full(256, -1, np.int16)  # smallest common prefix met since a lane's last tuple; -1: the lane is empty
+    def __init__(self, t: np.ndarray, up: np.ndarray, rises: bool, symbols: int, lanes: Lanes):
+        self._t, self._up, self._rises, self._lanes = t, up, rises, lanes
+        # Of each lane the scan of its last tuple (-1: the lane is empty) and the smallest common prefix after it in that scan.
+        self._last, self._rest = np.full(symbols, -1, np.int64), np.zeros(symbols, np.int16)
+        # Scans and their smallest prefixes, without those that a later scan undercuts: first after a scan is the smallest since.
+        self._scans: list[int] = []
+        self._least: list[int] = []
+        self._n = 0
 
     def scan(self, positions: np.ndarray, common: np.ndarray) -> None:
-        """positions in scanning order; common: with the one scanned before (0 across first bytes)."""
+        """positions in scanning order; common: with the one scanned before (0 across first symbols)."""
         before = positions - 1
         ok = before >= 0
-        ok[ok] = self._wanted[before[ok]]
+        ok[ok] = self._up[before[ok]] == self._rises
         at = np.flatnonzero(ok)
         lane = self._t[before[at]]
         by = np.argsort(lane, kind="stable")
         lane, at = lane[by], at[by]
         found, begin = np.unique(lane, return_index=True)
         ends = [*begin[1:].tolist(), len(lane)][: len(found)]
-        all_least = common.min() if len(common) else _FAR
-        used = self._least >= 0
-        least = self._least.copy()
-        least[used] = np.minimum(least[used], all_least)
-        for c, a, b in zip(found.tolist(), begin.tolist(), ends, strict=True):
+        last, after = self._last[found].tolist(), self._rest[found].tolist()
+        for c, was, rest, a, b in zip(found.tolist(), last, after, begin.tolist(), ends, strict=True):
             k = at[a:b]
             own = np.empty(b - a, np.int16)
-            own[0] = 0 if self._least[c] < 0 else 1 + min(int(self._least[c]), int(common[: k[0] + 1].min()))
+            if was < 0:
+                own[0] = 0
+            else:
+                since = bisect.bisect_right(self._scans, was)
+                own[0] = 1 + min(rest, int(common[: k[0] + 1].min()), self._least[since] if since < len(self._least) else DEPTH)
             if b - a > 1:
                 own[1:] = 1 + np.minimum.reduceat(common, k[:-1] + 1)[: b - a - 1]
                 # The last of reduceat's spans reaches to the end; the one before it must stop at its tuple.
                 own[-1] = 1 + int(common[k[-2] + 1 : k[-1] + 1].min())
-            rest = common[k[-1] + 1 :]
-            least[c] = rest.min() if len(rest) else _FAR
+            left = common[k[-1] + 1 :]
+            self._last[c], self._rest[c] = self._n, left.min() if len(left) else _FAR
             self._lanes.push(c, before[k], np.minimum(own, _FAR))
-        self._least = least
-
-
-def sorted_suffixes(t: np.ndarray, limit: int = MEMORY_TUPLES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, common prefix with the one before), in descending order, in chunks.
-
-    t: bytes of which the last is 0, the only 0. Order and prefixes hold up to DEPTH bytes.
-    """
-    up = rising(t)
-    run = _run_lengths(t)
-    lms = np.flatnonzero(up & ~np.append(False, up[:-1]) & (np.arange(len(t)) > 0))
-    seeds = lms_order(t, up, lms)
-    shared = common_prefixes(t, seeds)
-    seed_lane = t[seeds]
-    first, last = np.searchsorted(seed_lane, np.arange(256)), np.searchsorted(seed_lane, np.arange(256), side="right")
-    falling: list[list] = [[] for _ in range(256)]
-    queue = Lanes(limit)
-    induce = _Induction(t, ~up, queue)
-    for c in range(256):
-        end = None
+        least = int(common.min()) if len(common) else DEPTH
+        while self._least and self._least[-1] >= least:
+            self._least.pop()
+            self._scans.pop()
+        self._scans.append(self._n)
+        self._least.append(least)
+        self._n += 1
+
+
+def _induce(t: np.ndarray, up: np.ndarray, symbols: np.ndarray, seeds: Callable[[int], Chunks], limit: int, prefixes: bool) -> Chunks:
+    """All suffixes in descending order, from LMS places per first symbol (ascending, with prefixes)."""
+    run = (lambda at: _run(t, at)) if prefixes else (lambda at: 0)
+    size = int(symbols[-1]) + 1
+    queue, falling = Lanes(limit // 2), Lanes(limit // 2)
+    induce = _Induction(t, up, False, size, queue)
+    for c in symbols.tolist():
+        end, fresh = None, True
         for positions, common in queue.pop(c):
-            falling[c].append((positions, common))
+            falling.push(c, positions, common)
             induce.scan(positions, common)
             end = positions[-1]
-        own, common = seeds[first[c] : last[c]], shared[first[c] : last[c]].copy()
-        if len(own):
-            common[0] = 0 if end is None else min(run[end], run[own[0]])
+        for own, common in seeds(c):
+            common = common.copy()
+            if fresh:
+                common[0], fresh = 0 if end is None else min(run(end), run(own[0])), False
             induce.scan(own, common)
-    del seeds, shared
-    queue = Lanes(limit)
-    induce = _Induction(t, up, queue)
-    for c in range(255, -1, -1):
+    queue = Lanes(limit // 2)
+    induce = _Induction(t, up, True, size, queue)
+    for c in symbols[::-1].tolist():
         end = None
         if c == 0:
-            last_place = np.array([len(t) - 1])
-            queue.push(0, last_place, np.zeros(1, np.int16))
+            queue.push(0, np.array([len(t) - 1]), np.zeros(1, np.int16))
         for positions, common in queue.pop(c):
             yield positions, common
             induce.scan(positions, common)
             end = positions[-1]
-        chunks = falling[c]
-        falling[c] = []
-        before = end
         carried = None
-        for positions, common in reversed(chunks):
+        for positions, common in falling.back(c):
             # A tuple's prefix is with its smaller neighbour; going down it belongs to that one.
             down = np.empty(len(positions), np.int16)
             down[1:] = common[:0:-1]
-            down[0] = carried if carried is not None else 0 if before is None else min(run[before], run[positions[-1]])
+            down[0] = carried if carried is not None else 0 if end is None else min(run(end), run(positions[-1]))
             carried = common[0]
             yield positions[::-1], down
             induce.scan(positions[::-1], down)
+
+
+def sorted_suffixes(t: np.ndarray, limit: int = MEMORY_TUPLES, prefixes: bool = True) -> Chunks:
+    """(positions, common prefix with the one before), in descending order, in chunks.
+
+    t: symbols of which the last is 0, the only 0; an array or a map of a file. With prefixes,
+    symbols are bytes. Order and prefixes hold up to DEPTH symbols.
+    """
+    counts = np.zeros(1, np.int64)
+    for a, b in _pieces(len(t)):
+        own = np.bincount(t[a:b])
+        counts = np.pad(counts, (0, max(0, len(own) - len(counts))))
+        counts[: len(own)] += own
+    symbols = np.flatnonzero(counts)
+    up = rising(t, limit)
+    lms = _lms(up, limit)
+    if not len(lms):
+        order = lms
+    elif len(lms) <= limit:
+        order = _order_in_memory(t, up, np.asarray(lms))
+    else:
+        order = _order_by_recursion(t, up, lms, symbols, limit)
+    begin = np.zeros(len(counts) + 1, np.int64)
+    for a, b in _pieces(len(lms)):
+        begin[1:] += np.bincount(t[lms[a:b]], minlength=len(counts))
+    begin = np.cumsum(begin)
+    del lms
+    padded = None
+    if prefixes:
+        padded = disk_array(len(t) + DEPTH + 16, np.uint8, limit)
+        for a, b in _pieces(len(t)):
+            padded[a:b] = t[a:b]
+
+    def seeds(c: int) -> Chunks:
+        for a, b in _pieces(int(begin[c + 1] - begin[c]), max(1, min(CHUNK_TUPLES, limit))):
+            own = np.asarray(order[begin[c] + a : begin[c] + b])
+            if not prefixes:
+                yield own, np.zeros(len(own), np.int16)
+                continue
+            before = own[:1] if a == 0 else order[begin[c] + a - 1 : begin[c] + a]
+            yield own, common_prefixes(padded, np.append(before, own[:-1]), own)
+
+    yield from _induce(t, up, symbols, seeds, limit, prefixes)

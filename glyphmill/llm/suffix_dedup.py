@@ -11,6 +11,10 @@ suffixes of a corpus would move every byte several hundred times over the networ
 3. Distinct segments meet by anchor in shards of about SHARD_BYTES; each shard's suffixes are
    sorted by induction with their common prefixes (see induced_sort). A window repeats if a
    neighbour shares LENGTH bytes with it, or if its segment was counted twice.
+   An anchor of very many distinct segments (more than a HOT_SHARE of all, so there are at most
+   HOT_SHARE of them) is split: its segments are cut again by further anchors of other hash
+   functions, which equal windows share as well. What is left of it may make a shard far
+   larger than memory; the sorter then works from disk.
 4. Repeating windows go back to the documents by segment, and their bytes are cut out.
 
 Every table in between is written to the shared folder; texts move once, those of documents
@@ -19,7 +23,9 @@ with repeats once more.
 
 from __future__ import annotations
 
+import array
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Spool, only
-from .induced_sort import DEPTH, sorted_suffixes
-from .jaccard_join import _groups
+from .induced_sort import DEPTH, MEMORY_TUPLES, disk_array, sorted_suffixes
 from .wordhash import _BASE, _TABLE, mix
 
 LENGTH, K, SHARD_BYTES, CHUNK = 200, 80, 4 << 20, 1 << 19
+HOT_SHARE, HOT_LEAST, SPLITS = 1000, 1000, 3
 _PLACE = np.uint64((1 << 20) - 1)
 assert LENGTH <= DEPTH
 
@@ -40,8 +46,8 @@ assert LENGTH <= DEPTH
 class Segmenter:
     """Segments of a text: anchor hash, digest of the bytes, first window, number of windows."""
 
-    def __init__(self, length: int = LENGTH, k: int = K):
-        self._n, self._k = length, k
+    def __init__(self, length: int = LENGTH, k: int = K, salts: tuple[int, ...] = (0,)):
+        self._n, self._k, self._salts = length, k, [np.uint64(x) for x in salts]
         self._pow = self._inv = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -67,10 +73,15 @@ class Segmenter:
         self._powers(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_TABLE[raw] * self._pow[: len(raw)], out=sums[1:])
-        h = mix((sums[k:] - sums[:-k]) * self._inv[: len(raw) - k + 1])
-        low = self._lowest((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), self._n - k + 1)
-        first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-        return h[(low[first] & _PLACE).astype(np.int64)], first, np.diff(np.append(first, len(low)))
+        grams = (sums[k:] - sums[:-k]) * self._inv[: len(raw) - k + 1]
+        anchor, changes = None, None
+        for salt in self._salts:  # several hash functions: the anchors of all of them together
+            h = mix(grams + salt)
+            low = self._lowest((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), self._n - k + 1)
+            new, own = np.append(True, low[1:] != low[:-1]), h[(low & _PLACE).astype(np.int64)]
+            anchor, changes = (own, new) if anchor is None else (mix(anchor * np.uint64(_BASE) + own), changes | new)
+        first = np.flatnonzero(changes)
+        return anchor[first], first, np.diff(np.append(first, len(changes)))
 
     def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         raw = np.frombuffer(data, np.uint8)
@@ -113,37 +124,67 @@ def _anchors(length: int, k: int):
     return run
 
 
-def _cut(length: int):
-    """Bytes of the listed segments of a text."""
+def _cut(length: int, k: int, hot: frozenset[int]):
+    """Bytes of the listed segments of a text, with the key they are dealt by; those of hot anchors in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finer = Segmenter(length, k, salts=tuple(0x632BE59BD9B4E019 * i & ((1 << 64) - 1) for i in range(1, SPLITS + 1)))
         for batch in batches:
             for i in range(batch.num_rows):
                 data = _bytes(batch.column(0)[i].cast(pa.large_binary()))
-                rows = batch.column(1)[i].as_py()
-                columns = [pa.array([r[c] for r in rows], t) for c, t in (("a", pa.int64()), ("s", pa.int64()), ("m", pa.int64()), ("count", pa.int32()))]
-                columns.append(pa.array([data[r["start"] : r["start"] + r["count"] + length - 1] for r in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["a", "s", "m", "count", "data"])
+                out: list[tuple] = []
+                for r in batch.column(1)[i].as_py():
+                    own = data[r["start"] : r["start"] + r["count"] + length - 1]
+                    if r["a"] in hot:
+                        keys, _, first, count = finer(own)
+                        out += [(x, r["a"], r["s"], r["m"], f, own[f : f + c + length - 1]) for x, f, c in zip(keys.tolist(), first.tolist(), count.tolist(), strict=True)]
+                    else:
+                        out.append((r["a"], r["a"], r["s"], r["m"], 0, own))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                columns = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 6, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "a", "s", "m", "first", "data"])
 
     return run
 
 
-def repeating(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment, of each start with length bytes after it whether they also start elsewhere in the segments."""
-    # Text bytes become 1 to 253, a separator 254 ends each segment, and 0 ends all.
-    t = np.frombuffer(b"\xfd".join(segments) + b"\xfd\xff", np.uint8)
-    t = np.where(t == 0xFF, 0, t + np.uint8(1)).astype(np.uint8)
-    twice = np.zeros(len(t), bool)
+class ShardText:
+    """The text of a shard as it streams in: bytes of the segments plus 1, each ended by 254, all ended by 0; on disk beyond the limit."""
+
+    def __init__(self, limit: int):
+        self._limit, self._held, self._file, self.size, self.ends = limit, bytearray(), None, 0, array.array("q")
+
+    def add(self, data: bytes) -> None:
+        self._held += data
+        self._held.append(0xFD)
+        self.size += len(data) + 1
+        self.ends.append(self.size)
+        if len(self._held) > self._limit:
+            self._file = self._file or tempfile.TemporaryFile()  # noqa: SIM115  unlinked; its map below keeps it
+            self._write()
+
+    def _write(self) -> None:
+        self._file.write((np.frombuffer(bytes(self._held), np.uint8) + np.uint8(1)).tobytes())
+        self._held = bytearray()
+
+    def symbols(self) -> np.ndarray:
+        if self._file is None:
+            return np.append(np.frombuffer(bytes(self._held), np.uint8) + np.uint8(1), np.uint8(0))
+        self._write()
+        self._file.write(b"\0")
+        self._file.flush()
+        return np.memmap(self._file, np.uint8, "r", shape=(self.size + 1,))
+
+
+def twice(text: ShardText, length: int, limit: int = MEMORY_TUPLES) -> np.ndarray:
+    """Of each place of the shard's text whether the length bytes from it on also start elsewhere in it."""
+    t = text.symbols()
+    out = disk_array(len(t), bool, limit)
     before = 0
-    for positions, common in sorted_suffixes(t):
+    for positions, common in sorted_suffixes(t, limit):
         hit = common >= length
-        twice[positions[hit]] = True
-        twice[np.append(before, positions[:-1])[hit]] = True
+        out[positions[hit]] = True
+        out[np.append(before, positions[:-1])[hit]] = True
         before = positions[-1]
-    out, at = [], 0
-    for s in segments:
-        out.append(twice[at : at + max(0, len(s) - length + 1)])
-        at += len(s) + 1
     return out
 
 
@@ -153,26 +194,39 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(edge == -1) - start
 
 
-def _sort_shards(length: int, shard_bytes: int):
-    def shard(tables: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(tables)
-        segments = [bytes(x) for x in t.column("data").to_pylist()]
-        flags = repeating(segments, length)
-        flags = [np.ones(len(f), bool) if m > 1 else f for f, m in zip(flags, t.column("m").to_pylist(), strict=True)]
-        runs = [_runs(f) for f in flags]
-        columns = [t.column("a").combine_chunks(), t.column("s").combine_chunks(), *[_lists([r[i].astype(np.int32) for r in runs], pa.int32()) for i in (0, 1)]]
-        return pa.RecordBatch.from_arrays(columns, ["a", "s", "at", "n"])
+def _sort_shards(length: int, shard_bytes: int, limit: int):
+    """Rows sorted by k, dealt to shards that end between two keys."""
+    names = ("a", "s", "m", "first")
+
+    def told(text: ShardText, rows: list[array.array]) -> Iterator[pa.RecordBatch]:
+        flags, begin = twice(text, length, limit), 0
+        for at in range(0, len(rows[0]), 4096):
+            runs = []
+            for end, m in zip(text.ends[at : at + 4096], rows[2][at : at + 4096], strict=True):
+                own = np.asarray(flags[begin : max(begin, end - length)])
+                runs.append(_runs(np.ones(len(own), bool) if m > 1 else own))
+                begin = end
+            first = rows[3][at : at + 4096]
+            starts = [(r[0] + f).astype(np.int32) for r, f in zip(runs, first, strict=True)]
+            columns = [pa.array(np.array(rows[i][at : at + 4096], np.int64)) for i in (0, 1)]
+            columns += [_lists(starts, pa.int32()), _lists([r[1].astype(np.int32) for r in runs], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "s", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for t in _groups(batches, 1):
-            held.append(t)
-            size += t.nbytes
-            if size >= shard_bytes:
-                yield shard(held)
-                held, size = [], 0
-        if held:
-            yield shard(held)
+        text, rows, last = ShardText(limit), [array.array("q") for _ in names], None
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("k")).to_pylist()
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+            for i, (key, data) in enumerate(zip(keys, batch.column(batch.schema.get_field_index("data")), strict=True)):
+                if key != last and text.size >= shard_bytes:
+                    yield from told(text, rows)
+                    text, rows = ShardText(limit), [array.array("q") for _ in names]
+                last = key
+                text.add(data.as_py())
+                for r, c in zip(rows, columns, strict=True):
+                    r.append(c[i])
+        if text.size:
+            yield from told(text, rows)
 
     return run
 
@@ -200,8 +254,9 @@ def _removed(length: int):
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, k: int = K, shard_bytes: int = SHARD_BYTES, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, length: int = LENGTH, k: int = K, shard_bytes: int = SHARD_BYTES, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text",
+    limit: int = MEMORY_TUPLES,
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and kept (the text) on demand.
 
     kept leaves out characters of which a cut left only some bytes; it is null where nothing
@@ -215,19 +270,26 @@ def remove_repeats(
     lists = "anchors array<long>, digests array<long>, starts array<int>, counts array<int>"
     schema = f"doc_id {dict(d.dtypes)['doc_id']}, key long, n_bytes long, sha string, {lists}"
     narrow = spool.put(d.mapInArrow(_anchors(length, k), schema), "anchors")
+    # Written tables on both sides of joins, so that the planner can split the rows of a very common anchor.
     shared = narrow.select(F.explode_outer("anchors").alias("a")).groupBy("a").agg(F.count("*").alias("df")).filter("a is not null and df > 1").select("a")
+    shared = spool.put(shared, "shared")
     places = narrow.select("key", F.explode_outer(F.arrays_zip("anchors", "digests", "starts", "counts")).alias("x"))
     places = places.select("key", F.col("x.anchors").alias("a"), F.col("x.digests").alias("s"), F.col("x.starts").alias("start"), F.col("x.counts").alias("count"))
     places = spool.put(places.join(shared, "a"), "places")
     distinct = places.groupBy("a", "s").agg(F.count("*").alias("m"), F.min(F.struct("key", "start", "count")).alias("r"))
+    distinct = spool.put(distinct, "distinct")
+    most = max(HOT_LEAST, distinct.count() // HOT_SHARE)
+    hot = frozenset(r.a for r in distinct.groupBy("a").count().filter(F.col("count") > most).select("a").collect())  # HOT_SHARE rows at most
     wanted = distinct.select(F.col("r.key").alias("key"), F.struct("a", "s", "m", F.col("r.start").alias("start"), F.col("r.count").alias("count")).alias("x"))
     wanted = places.select("key").distinct().join(wanted.groupBy("key").agg(F.collect_list("x").alias("segments")), "key", "left")
     texts = spool.put(d.select("key", "text").join(wanted, "key"), "texts")
     segments = texts.filter(F.col("segments").isNotNull()).select("text", "segments")
-    segments = segments.mapInArrow(_cut(length), "a long, s long, m long, count int, data binary")
-    dealt = segments.repartition("a").sortWithinPartitions("a", "s")
-    sorted_ = spool.put(dealt.mapInArrow(_sort_shards(length, shard_bytes), "a long, s long, at array<int>, n array<int>"), "repeating")
-    runs = sorted_.filter(F.size("at") > 0)
+    segments = segments.mapInArrow(_cut(length, k, hot), "k long, a long, s long, m long, first int, data binary")
+    dealt = segments.repartition("k").sortWithinPartitions("k", "a", "s", "first")
+    sorted_ = dealt.mapInArrow(_sort_shards(length, shard_bytes, limit), "a long, s long, at array<int>, n array<int>")
+    runs = spool.put(sorted_.filter(F.size("at") > 0), "repeating")
+    spool.drop("distinct")
+    spool.drop("shared")
     spans = places.join(runs, ["a", "s"]).select("key", "start", F.explode_outer(F.arrays_zip("at", "n")).alias("x"))
     spans = spans.select("key", F.struct((F.col("start") + F.col("x.at")).alias("b"), (F.col("start") + F.col("x.at") + F.col("x.n")).alias("e")).alias("span"))
     spans = spans.groupBy("key").agg(F.collect_set("span").alias("spans"))

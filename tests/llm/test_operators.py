@@ -402,23 +402,57 @@ def test_word_hashes():
     assert len(set(seen.values())) == len(seen) == 4
 
 
+def _check_suffixes(body, limit):
+    """All suffixes once, in descending order and with the true common prefixes, both up to DEPTH."""
+    t = np.array([*body, 0], np.uint8)
+    s, depth = bytes(t), induced_sort.DEPTH
+    got = [(p, c) for a, b in induced_sort.sorted_suffixes(t, limit=limit) for p, c in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(p for p, _ in got) == list(range(len(s)))
+    for (p, _), (q, c) in zip(got, got[1:], strict=False):
+        n = 0
+        while n < depth and p + n < len(s) and q + n < len(s) and s[p + n] == s[q + n]:
+            n += 1
+        assert min(c, depth) == n and (n == depth or s[p : p + depth] > s[q : q + depth])
+
+
 def test_sorted_suffixes():
-    for k in range(150):
+    for k in range(200):
         body = [R.randrange(1, 2 + k % 4) for _ in range(R.randrange(1, 90))]
-        t = np.array([*(body[:8] * 9 if k % 5 == 0 else body), 0], np.uint8)
-        s = bytes(t)
-        order = sorted(range(len(s)), key=lambda i: s[i:])
-        got = [(p, c) for a, b in induced_sort.sorted_suffixes(t, limit=10 if k % 2 else 10**6) for p, c in zip(a.tolist(), b.tolist(), strict=True)]
-        assert [p for p, _ in got] == order[::-1]
-        for (p, _), (q, c) in zip(got, got[1:], strict=False):
-            n = 0
-            while p + n < len(s) and q + n < len(s) and s[p + n] == s[q + n]:
-                n += 1
-            assert c == n
+        _check_suffixes(body[:8] * 9 if k % 5 == 0 else body, [1, 3, 10, 10**6][k % 4])
 
 
-@pytest.mark.parametrize(("length", "k", "shard"), [(200, 80, 4 << 20), (30, 12, 50)])
-def test_suffix_dedup(docs, empty, length, k, shard):
+def test_suffixes_far_beyond_memory(monkeypatch):
+    """Texts of sixty times the limit: names recur over levels, and no queue holds more tuples than the limit."""
+    made, levels = [], []
+    lanes, recursion = induced_sort.Lanes, induced_sort._order_by_recursion
+
+    class Seen(lanes):
+        def __init__(self, limit=1):
+            super().__init__(limit)
+            made.append((limit, self))
+
+    monkeypatch.setattr(induced_sort, "Lanes", Seen)
+    monkeypatch.setattr(induced_sort, "_order_by_recursion", lambda *a: levels.append(len(a[2])) or recursion(*a))
+    for k in range(4):
+        body = [R.randrange(1, 3 + k * 6) for _ in range(6000)]
+        _check_suffixes(body[:700] * 3 + body[:3000] + [1] * 500 + body[3000:3400] if k % 2 else body, 100)
+    assert len(levels) >= 8 and all(x.most <= 2 * limit for limit, x in made) and any(x._end for _, x in made)
+
+
+def test_hot_anchors(spark, monkeypatch):
+    """One passage in very many surroundings: its segments are dealt by further anchors, with the same result."""
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 5)
+    passage = sentence(60)
+    docs = spark.createDataFrame([(i, f"{sentence(40)} {passage[: 150 + i % 90]} {sentence(40)}") for i in range(120)] + [(200, passage)], "doc_id long, text string")
+    seen = []
+    cut = suffix_dedup._cut
+    monkeypatch.setattr(suffix_dedup, "_cut", lambda length, k, hot: seen.append(len(hot)) or cut(length, k, hot))
+    got = rows(suffix_dedup.remove_repeats(docs, limit=1000))
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 10**9)
+    assert got == rows(suffix_dedup.remove_repeats(docs)) == _without_repeats(docs, 200) and seen[0] > 0 and seen[1] == 0
+
+
+def _without_repeats(docs, length):
     texts = [(i, x.encode()) for i, x in local(docs)]
     seen = Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
     want = Counter()
@@ -429,7 +463,12 @@ def test_suffix_dedup(docs, empty, length, k, shard):
                 gone[j : j + length] = [True] * length
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[(i, len(b), sum(gone), sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())] += 1
-    assert rows(suffix_dedup.remove_repeats(docs, length, k, shard)) == want
+    return want
+
+
+@pytest.mark.parametrize(("length", "k", "shard"), [(200, 80, 4 << 20), (30, 12, 50)])
+def test_suffix_dedup(docs, empty, length, k, shard):
+    assert rows(suffix_dedup.remove_repeats(docs, length, k, shard)) == _without_repeats(docs, length)
     assert suffix_dedup.report(empty).count() == 0
     assert suffix_dedup.remove_repeats(docs, with_text=True).filter("n_removed > 0 and kept is null").count() == 0
 
