@@ -196,8 +196,9 @@ def _clusters(sigs: DataFrame, spool: Spool, percent: int) -> DataFrame:
         F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("df")
     )
     common = spool.put(frequency.filter(F.col("lo") != F.col("hi")).select("gram", "df"), "common")
-    rows = known.select("cid", "n", "early", F.posexplode_outer("grams").alias("pos", "gram")).join(common, "gram").repartition("cid")
-    rows = rows.groupBy("cid", "gram").agg(*[F.first(c).alias(c) for c in ("n", "early", "pos", "df")])  # copies of a class
+    rows = known.select("cid", "n", "early", F.posexplode_outer("grams").alias("pos", "gram")).join(common, "gram")
+    rows = rows.groupBy("cid", "gram").agg(*[F.first(c).alias(c) for c in ("n", "early", "pos", "df")])  # copies of a class, before they meet by it
+    rows = rows.repartition("cid")
     is_early = (F.col("pos") < F.col("early")).alias("e")
     rows = rows.select("*", is_early)
     own = Window.partitionBy("cid", "e")
