@@ -6,7 +6,7 @@ Letters and digits are Unicode classes written out, since Java's shorthand class
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -128,8 +128,21 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(n <= 0, F.lit(0)).when(at == 0, n).otherwise(at - 1).cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value bound to a name: it is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(words: Column, n: int) -> Column:
-    return F.transform(positions(1, F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    """n-grams joined by blanks: each word and its followers side by side, so the cost grows with the words alone."""
+
+    def build(w: Column) -> Column:
+        out = w
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(w, k + 1, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(w) >= n, F.slice(out, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))).otherwise(_empty())
+
+    return let(words, build)
 
 
 def quality_flag(c: Column, min_chars: int = 12, min_letters: int = 4) -> Column:
@@ -204,18 +217,3 @@ def join_prompt(prompt: Column, target: Column) -> Column:
 def continuation(full: Column, prefix: Column) -> Column:
     """What a text adds to its prefix; all of it where it has another beginning."""
     return F.when(F.startswith(full, prefix), F.substring(full, F.char_length(prefix) + 1, F.char_length(full))).otherwise(full)
-
-
-def repeated_from(words: Column, n: int = 3, most: int = 2, least_words: int = 12) -> Column:
-    """How many words to keep so that no n-gram from word least_words on is met more than most times; null: all.
-
-    One map of counts per n-gram would be a loop of its own; the count of an n-gram up to a
-    place is the number of equal ones among those before it.
-    """
-    grams = ngrams(words, n)
-    over = F.filter(
-        F.transform(grams, lambda g, i: F.when((i + n >= least_words) & (F.size(F.filter(F.slice(grams, 1, i + 1), lambda h: h == g)) > most), i)),
-        lambda i: i.isNotNull(),
-    )
-    first = F.array_min(over)
-    return F.when(first >= least_words, first)

@@ -104,19 +104,28 @@ def subsample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, name: str = "rn") -> DataFrame:
-    """Rows with their place in the order of the key, from 0, without one task that sees all rows.
+    """Rows with their place in the order of a numeric key, from 0, without one task that sees all rows.
 
-    Rows are dealt by ranges of the key; a window counts within a range, and the counts of the
-    ranges (one row each) give where each begins.
+    Bounds of the ranges are taken once and are literals from then on, so counting and
+    numbering cut at the same places; a window counts within a range, and the counts of the
+    ranges (one row each) give where each begins. Rows without a key come first.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p").orderBy(key)
-    ranged = ranged.withColumn("_r", F.row_number().over(own) - 1)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 100 * parts).alias("b")).first().b or [])) if shares else []  # one row
+    literal = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def below(a: Column, s: Column) -> Column:
+        return F.when((a + s <= len(bounds)) & (F.get(literal, a + s - 1) < F.col(key)), a + s).otherwise(a)
+
+    place = F.aggregate(steps, F.lit(0), below) if bounds else F.lit(0)  # how many bounds lie below the key
+    ranged = df.withColumn("_p", place)
+    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
+    sizes = df.select(place.alias("_p")).groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    return ranged.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_r")).drop("_p", "_r", "_s")  # one row per partition
+    return ranged.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_r")).drop("_p", "_r", "_s")  # one row per range
 
 
 def chunked_sort(df: DataFrame, key: str, length: str, chunk: int) -> DataFrame:

@@ -9,26 +9,31 @@ from ..functions import maths
 from ..functions import text as t
 
 
-def bigrams(docs: DataFrame) -> DataFrame:
-    """doc_id, a, b: neighbouring word tokens, by one pass over the arrays."""
-    w = docs.select("doc_id", t.word_tokens(F.col("text")).alias("w"))
+def bigrams(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the kept columns, a, b: neighbouring word tokens, by one pass over the arrays."""
+    w = docs.select("doc_id", *keep, t.word_tokens(F.col("text")).alias("w"))
     pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return w.select("doc_id", F.explode_outer(pairs).alias("p")).filter("p is not null").select("doc_id", "p.a", "p.b")
+    return w.select("doc_id", *keep, F.explode_outer(pairs).alias("p")).filter("p is not null").select("doc_id", *keep, "p.a", "p.b")
 
 
-def bigram_model(docs: DataFrame, k: float = 0.1) -> DataFrame:
-    """a, b, n, logprob: add-k estimates from all documents."""
-    pairs = bigrams(docs).groupBy("a", "b").agg(F.count("*").alias("n"))
+def _model(pairs: DataFrame, k: float) -> DataFrame:
+    """a, b, n, logprob: add-k estimates from pair counts (a, b, n)."""
     heads = pairs.groupBy("a").agg(F.sum("n").alias("total"))
     types = pairs.select("b").distinct().agg(F.count("*").alias("v"))  # one row
     j = pairs.join(heads, "a").crossJoin(F.broadcast(types))
     return j.select("a", "b", "n", F.log((F.col("n") + k) / (F.col("total") + k * F.col("v"))).alias("logprob"))
 
 
+def bigram_model(docs: DataFrame, k: float = 0.1) -> DataFrame:
+    """a, b, n, logprob: add-k estimates from all documents."""
+    return _model(bigrams(docs).groupBy("a", "b").agg(F.count("*").alias("n")), k)
+
+
 def perplexity(docs: DataFrame, split: str, k: float = 0.1) -> DataFrame:
-    """split, tokens, chars, ppl, char_ppl of the bigram model on its own corpus."""
-    scored = bigrams(docs).join(docs.select("doc_id", split), "doc_id").groupBy(split, "a", "b").agg(F.count("*").alias("c"))
-    scored = scored.join(bigram_model(docs, k).select("a", "b", "logprob"), ["a", "b"])
+    """split, tokens, chars, ppl, char_ppl of the bigram model on its own corpus: pairs are counted once, per split, and the model adds up these counts."""
+    counts = bigrams(docs, split).groupBy(split, "a", "b").agg(F.count("*").alias("c"))
+    model = _model(counts.groupBy("a", "b").agg(F.sum("c").alias("n")), k)
+    scored = counts.join(model.select("a", "b", "logprob"), ["a", "b"])
     loss = scored.groupBy(split).agg(F.sum("c").alias("tokens"), F.sum(-F.col("c") * F.col("logprob")).alias("loss"))
     chars = docs.groupBy(split).agg(F.sum(F.char_length("text")).alias("chars"))
     return loss.join(chars, split).select(
@@ -45,8 +50,7 @@ def distinct_n(texts: DataFrame, group: str, n: int, text: str = "text") -> Data
 
 def repeat_share(n: int, text: str = "text"):
     """Share of n-grams of a text that repeat; null for a text without any."""
-    g = t.ngrams(t.blank_words(F.col(text)), n)
-    return F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g))
+    return t.let(t.ngrams(t.blank_words(F.col(text)), n), lambda g: F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)))
 
 
 def benchmark_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,23 +106,23 @@ def covariance_spectrum(vectors: DataFrame, dims: int) -> tuple[list[float], int
 
 
 def canaries(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """item_id, category, repeats, n_match, prefix length share: how far documents continue an item's first half as the item does.
+    """item_id, doc_id, lang, n, lcp: how far documents continue an item's first words as the item does, to its end.
 
     Items are joined on the hash of their first words, which documents show at every place; so
-    no document meets every item.
+    no document meets every item. Words after a place are taken only where an item begins there.
     """
     w = t.blank_words(F.col("text"))
     head = 6
     i = items.select("item_id", w.alias("w")).filter(F.size("w") >= 2 * head)
-    i = i.select("item_id", F.xxhash64(F.slice("w", 1, head)).alias("h"), F.slice("w", F.lit(head + 1), F.greatest(F.size("w"), F.lit(0))).alias("suffix"))
-    longest = i.agg(F.max(F.size("suffix"))).first()[0] or 0
+    i = i.select("item_id", F.slice("w", 1, head).alias("head"), F.slice("w", F.lit(head + 1), F.greatest(F.size("w"), F.lit(1))).alias("suffix"))
+    i = i.withColumn("h", F.xxhash64(F.array_join("head", " ")))
     d = docs.select("doc_id", "lang", w.alias("w"))
-    starts = F.transform(t.positions(1, F.size("w") - (head - 1)), lambda p: F.struct(F.xxhash64(F.slice("w", p, head)).alias("h"), F.slice("w", p + head, F.lit(longest)).alias("next")))
-    d = d.select("doc_id", "lang", F.explode_outer(starts).alias("s")).select("doc_id", "lang", "s.h", "s.next")
-    j = d.join(i, "h")
-    same = F.zip_with("suffix", F.slice("next", F.lit(1), F.size("suffix")), lambda a, b: a == b)
-    lcp = F.coalesce(F.array_position(same, False) - 1, F.size("suffix"))
-    lcp = F.when(F.array_position(same, False) == 0, F.size(F.filter(same, lambda x: x))).otherwise(F.least(lcp, F.size("suffix")))
+    starts = d.select("doc_id", F.posexplode_outer(F.transform(t.ngrams(F.col("w"), head), lambda g: F.xxhash64(g))).alias("p", "h"))
+    found = starts.filter(F.col("h").isNotNull()).join(i, "h").select("doc_id", "p", "item_id", "head", "suffix")
+    j = found.join(d, "doc_id").filter(F.slice("w", F.col("p") + 1, head) == F.col("head"))
+    after = F.slice("w", F.col("p") + (head + 1), F.greatest(F.size("suffix"), F.lit(1)))
+    same = F.zip_with("suffix", after, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    lcp = t.let(F.array_position(same, False), lambda x: F.when(x == 0, F.size("suffix").cast("long")).otherwise(x - 1))
     return j.select("item_id", "doc_id", "lang", F.size("suffix").alias("n"), lcp.cast("int").alias("lcp"))
 
 

@@ -35,12 +35,15 @@ def best_so_far(run: str, order: str, value: str) -> Column:
     return least.isNull() | (F.col(value) < least)
 
 
-def stopped_at(rows: DataFrame, run: str, order: str, value: str, patience: int, delta: float = 0.0) -> DataFrame:
+def stopped_at(rows: DataFrame, run: str, order: str, value: str, patience: int, delta: float = 0.0, min_steps: int = 0) -> DataFrame:
     """run, stop: the first place at which the value has not improved by delta for so many evaluations; null if never.
 
+    Evaluations before min_steps, and values that are missing or not finite, do not count.
+
     A fold per run over its evaluations; an evaluation log is small by nature, one row per evaluation.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    counts = (F.col(order) >= min_steps) & F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    seq = F.array_sort(F.collect_list(F.when(counts, F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))))
     start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"))
 
     def step(a: Column, x: Column) -> Column:

@@ -7,9 +7,11 @@ table in the closure.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,17 +51,19 @@ def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[s
             where[p].add(i)
     base = sorted({c for s, _ in words for c in s})
     merges: list[tuple[str, str]] = []
-    while len(base) + len(merges) < size and counts:
-        best = min(counts, key=lambda p: (-counts[p], p))
-        if counts[best] < 1:
-            break
+    heap = [(-n, p) for p, n in counts.items()]  # entries of counts that have changed since are passed over
+    heapq.heapify(heap)
+    while len(base) + len(merges) < size and heap:
+        n, best = heapq.heappop(heap)
+        if counts.get(best) != -n:
+            continue
+        changed: set[tuple[str, str]] = set()
         merges.append(best)
         for i in where.pop(best, ()):
             s, n = words[i]
             for p in zip(s, s[1:], strict=False):
                 counts[p] -= n
-                if counts[p] <= 0:
-                    del counts[p]
+                changed.add(p)
             out = []
             for c in s:
                 if out and (out[-1], c) == best:
@@ -70,7 +74,13 @@ def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[s
             for p in zip(out, out[1:], strict=False):
                 counts[p] += n
                 where[p].add(i)
+                changed.add(p)
         counts.pop(best, None)
+        for p in changed - {best}:
+            if counts[p] > 0:
+                heapq.heappush(heap, (-counts[p], p))
+            else:
+                del counts[p]
     return base, merges
 
 
@@ -249,25 +259,29 @@ def longest_matcher(vocab: dict[str, int]) -> Callable[[], Callable[[str], list[
 
 
 def viterbi_spans(text: str, probabilities: list[float], trie: Trie, reward: float = 0.35, eps: float = 1e-6) -> list[tuple[int, int]]:
-    """Spans of pieces that best fit boundary probabilities.
+    """Spans of pieces (or single characters where none begins) of greatest total gain.
 
-    A span earns the log probability of a boundary where it begins (not at 0), of none inside,
-    and a reward per further character. Probabilities that lack are a half.
+    A span from a to e gains log p[a] (unless a is 0), the logs of 1 - p over its inside, and
+    the reward per character after its first; p is held within eps of 0 and 1, a missing one
+    is a half. Ends are settled from the right, each offering its gain to the spans that reach
+    it; of equal offers the shorter span stands.
     """
     n = len(text)
-    p = [min(1 - eps, max(eps, x)) for x in (probabilities + [0.5] * n)[:n]]
-    inside = [0.0]
-    for x in p:
-        inside.append(inside[-1] + math.log1p(-x))
-    best, choice = [-1e30] * n + [0.0], [0] * n
-    for at in range(n - 1, -1, -1):
-        for piece in trie.prefixes(text, at) or [text[at]]:
-            end = at + len(piece)
-            v = (math.log(p[at]) if at else 0.0) + inside[end] - inside[at + 1] + reward * (len(piece) - 1) + best[end]
-            if v > best[at]:
-                best[at], choice[at] = v, end
-    out, at = [], 0
+    p = [min(max(x, eps), 1 - eps) for x in probabilities[:n]]
+    p += [0.5] * (n - len(p))
+    inside = list(accumulate((math.log1p(-x) for x in p), initial=0.0))
+    reaching: list[list[int]] = [[] for _ in range(n + 1)]
+    for start in range(n):
+        for piece in trie.prefixes(text, start) or [text[start]]:
+            reaching[start + len(piece)].append(start)
+    gain, end_of = [-math.inf] * n + [0.0], [0] * n
+    for end in range(n, 0, -1):
+        for start in reaching[end]:
+            offer = gain[end] + inside[end] - inside[start + 1] + reward * (end - start - 1) + (math.log(p[start]) if start else 0.0)
+            if offer >= gain[start]:
+                gain[start], end_of[start] = offer, end
+    spans, at = [], 0
     while at < n:
-        out.append((at, choice[at]))
-        at = choice[at]
-    return out
+        spans.append((at, end_of[at]))
+        at = end_of[at]
+    return spans

@@ -64,17 +64,17 @@ def word_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 
 def trimmed(df: DataFrame, keys: list[str], n: int = 3, most: int = 2, least_words: int = 12, text: str = "text") -> DataFrame:
-    """keys, text, trimmed: cut before the first n-gram, from word least_words on, met more than most times.
+    """keys, text, trimmed: cut before the first n-gram, from word least_words on, met more than most times; else the text as it is.
 
     Running counts per n-gram by a window, so a long text costs a sort and no nested loop.
     """
-    w = df.select(*keys, t.blank_words(F.col(text)).alias("w"))
+    w = df.select(*keys, F.col(text).alias("_text"), t.blank_words(F.col(text)).alias("w"))
     grams = w.select(*keys, F.posexplode_outer(t.ngrams(F.col("w"), n)).alias("i", "gram")).filter("gram is not null")
     seen = F.count("*").over(Window.partitionBy(*keys, "gram").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     first = grams.withColumn("seen", seen).filter((F.col("seen") > most) & (F.col("i") + n >= least_words)).groupBy(*keys).agg(F.min("i").alias("keep"))
     j = w.join(first, keys, "left")
     cut = F.coalesce(F.col("keep") >= least_words, F.lit(False))
-    return j.select(*keys, F.array_join(F.when(cut, F.slice("w", F.lit(1), F.col("keep"))).otherwise(F.col("w")), " ").alias("text"), cut.alias("trimmed"))
+    return j.select(*keys, F.when(cut, F.array_join(F.slice("w", F.lit(1), F.greatest("keep", F.lit(1))), " ")).otherwise(F.col("_text")).alias("text"), cut.alias("trimmed"))
 
 
 def tail_loop(units: np.ndarray, least_prefix: int, most_period: int) -> int | None:

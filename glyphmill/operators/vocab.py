@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -62,6 +67,33 @@ def encode(tokens: DataFrame, vocab: DataFrame, keys: list[str], unk: int = UNK,
     return tokens.join(_small(vocab, most), "token", "left").select(*keys, "pos", "token", F.coalesce("id", F.lit(unk)).alias("id"))
 
 
+def code_arrays(docs: DataFrame, tokens: Column, vocab: DataFrame, key: str = "doc_id", unk: int = UNK, edges: tuple[int, ...] = ()) -> DataFrame:
+    """key, ids: token arrays looked up as they lie, by one call per batch; nothing is shuffled. The vocabulary travels in the task.
+
+    edges: nothing, or the ids before and after each row.
+    """
+    rows = vocab.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError("too many tokens to travel in a task; use encode(), which joins")
+    names, ids = [r.token for r in rows], np.array([r.id for r in rows] + [unk], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(names, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), len(names)).to_numpy()
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            ends = np.cumsum(size)
+            coded = ids[found]
+            if edges:
+                coded = np.insert(np.insert(coded, ends, edges[1]), ends - size + np.arange(len(size)), edges[0])
+                ends = ends + 2 * np.arange(1, len(size) + 1)
+            out = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(coded, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), out], [key, "ids"])
+
+    return docs.select(key, tokens.alias("_t")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>")
+
+
 def in_order(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """One array per key, by pos."""
     pairs = F.array_sort(F.collect_list(F.struct("pos", value)))

@@ -120,7 +120,14 @@ def loop_diagnostics(spark, d):
     )
 
 
-@query("canary_by_group")
+@query("canary_by_group", f"""
+WITH it AS (SELECT item_id, w[1:6] AS head, w[7:] AS suf FROM (SELECT item_id, {_W} AS w FROM benchmark) WHERE len(w) >= 12),
+d AS (SELECT doc_id, lang, {_W} AS w FROM documents),
+p AS (SELECT doc_id, i, w[i:i + 5] AS head FROM d, unnest(range(1, greatest(len(w) - 4, 1))) t(i)),
+h AS (SELECT item_id, d.doc_id, lang, len(suf) AS n, coalesce(list_min(list_filter(range(1, len(suf) + 1), lambda k: suf[k] IS DISTINCT FROM d.w[p.i + 5 + k])) - 1, len(suf)) AS lcp
+  FROM p JOIN it USING (head) JOIN d ON d.doc_id = p.doc_id),
+per AS (SELECT item_id, lang, count(*) AS repeats, max(lcp / n) AS share, max(CAST(lcp = n AS INTEGER)) AS match FROM h GROUP BY item_id, lang)
+SELECT lang, repeats, count(*) AS items, round(100.0::DOUBLE * avg(match), 6) AS accuracy, round(avg(share), 6) AS lcp_share FROM per GROUP BY lang, repeats""")
 def canary_by_group(spark, d):
     """By language and number of occurrences: items, matches to the end, mean share of the suffix matched."""
     hits = ops.canaries(table(spark, d, "benchmark"), table(spark, d, "documents"))

@@ -135,9 +135,9 @@ def progress_bands(spark, d):
     return _log(spark, d).withColumn("band", band).groupBy("run", "band").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("explode_list_metrics", "SELECT vec_id, 'dim_' || (i - 1) AS key, embedding[i]::DOUBLE AS value FROM embeddings, unnest(range(1, 5)) t(i)")
+@query("explode_list_metrics", "SELECT vec_id, 'dim_' || (i - 1) AS key, embedding[i]::DOUBLE AS value FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i)")
 def explode_list_metrics(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x"))
+    x = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     x = x.select("vec_id", F.concat(F.lit("dim_"), F.col("i").cast("string")).alias("key"), F.col("x").cast("double").alias("value"))
     return x.filter(~F.isnan("value") & (F.abs("value") != float("inf")))
 

@@ -18,13 +18,16 @@ def _words(spark, d):
 
 
 @query("pack_tokens", f"""
-WITH RECURSIVE w AS (SELECT source, doc_id, CAST(least({_N}, 200) AS INTEGER) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+WITH RECURSIVE w AS (SELECT source, CAST({_N} AS INTEGER) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
 f AS (
-  SELECT source, rn, n AS used, 0 AS sample FROM w WHERE rn = 1
+  SELECT DISTINCT source, CAST(0 AS BIGINT) AS rn, 0 AS n, 0 AS used, CAST(0 AS BIGINT) AS sample, 0 AS had, CAST(0 AS BIGINT) AS began FROM w
   UNION ALL
-  SELECT w.source, w.rn, CASE WHEN f.used + w.n <= 256 THEN f.used + w.n ELSE w.n END, f.sample + CASE WHEN f.used + w.n <= 256 THEN 0 ELSE 1 END
+  SELECT w.source, w.rn, w.n, CASE WHEN f.used + w.n <= 256 THEN f.used + w.n ELSE CAST(w.n - 256 * ((w.n - 1) // 256) AS INTEGER) END,
+         f.sample + CASE WHEN f.used + w.n <= 256 THEN 0 ELSE CAST(f.used > 0 AS INTEGER) + (w.n - 1) // 256 END, f.used, f.sample
   FROM f JOIN w ON w.source = f.source AND w.rn = f.rn + 1)
-SELECT source, CAST(sample AS BIGINT) AS sample_id, CAST(max(used) AS INTEGER) AS used FROM f GROUP BY source, sample""")
+SELECT source, sample AS sample_id, CAST(max(used) AS INTEGER) AS used FROM f WHERE used > 0 GROUP BY source, sample
+UNION ALL
+SELECT source, began + CAST(had > 0 AS INTEGER) + unnest(range(0, (n - 1) // 256)) AS sample_id, 256 AS used FROM f WHERE n > 256""")
 def pack_tokens(spark, d):
     """Documents into samples of 256, longer ones cut; tokens are ones, padding zeros, so used counts them."""
     lines = _words(spark, d).withColumn("ids", F.array_repeat(F.lit(1), F.col("n")))

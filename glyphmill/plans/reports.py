@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import stats
 from .registry import query, table
 
-#: This SQL takes thirty examples of each of five models, the queries take all. A number made of n_chars stands for a score.
+#: All examples of all models. A number made of n_chars stands for a score.
 _S = """s AS (SELECT source AS model, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS idx, CAST(n_chars % 100 AS DOUBLE) AS value
-  FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4') QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 30)"""
+  FROM documents WHERE source IS NOT NULL)"""
 _DRAW = "CAST(('0x' || substring(md5('42:' || b || ':' || i), 1, 8)) AS BIGINT)"
 
 

@@ -69,7 +69,7 @@ def edge_strip(spark, d):
 
 
 @query("lev_similarity", f"""
-WITH p AS ({_PAIRS}), x AS (SELECT conv_id, turn, {_FOLD.format("left(prompt, 200)")} AS a, {_FOLD.format("left(answer, 200)")} AS b FROM p)
+WITH p AS ({_PAIRS}), x AS (SELECT conv_id, turn, {_FOLD.format("prompt")} AS a, {_FOLD.format("answer")} AS b FROM p)
 SELECT conv_id, turn, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 100.0::DOUBLE ELSE greatest(0.0::DOUBLE, (1 - levenshtein(a, b) / greatest(len(a), len(b))::DOUBLE) * 100) END, 6) AS similarity FROM x""")
 def lev_similarity(spark, d):
     similarity = t.similarity_percent(t.ascii_fold(F.col("prompt")), t.ascii_fold(F.col("answer")))
@@ -77,7 +77,7 @@ def lev_similarity(spark, d):
 
 
 @query("lev_threshold", f"""
-WITH p AS ({_PAIRS}), x AS (SELECT conv_id, turn, {_FOLD.format("left(prompt, 60)")} AS a, {_FOLD.format("left(answer, 60)")} AS b FROM p),
+WITH p AS ({_PAIRS}), x AS (SELECT conv_id, turn, {_FOLD.format("prompt")} AS a, {_FOLD.format("answer")} AS b FROM p),
 s AS (SELECT conv_id, turn, CASE WHEN greatest(len(a), len(b)) = 0 THEN 100.0::DOUBLE ELSE greatest(0.0::DOUBLE, (1 - levenshtein(a, b) / greatest(len(a), len(b))::DOUBLE) * 100) END AS s FROM x)
 SELECT conv_id, turn, round(CASE WHEN s >= 20 THEN s ELSE 0 END, 6) AS score FROM s""")
 def lev_threshold(spark, d):
@@ -131,7 +131,7 @@ def mojibake_flag(spark, d):
     return table(spark, d, "documents").select("doc_id", t.looks_mangled(F.col("text")).alias("mangled"))
 
 
-@query("mojibake_repair", "SELECT doc_id, left(text, 50) AS text FROM documents")
+@query("mojibake_repair", "SELECT doc_id, text FROM documents")
 def mojibake_repair(spark, d):
     """A code-page accident and its repair give the text back."""
     return table(spark, d, "documents").select("doc_id", t.unmangle(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).alias("text"))
@@ -207,14 +207,14 @@ def pct_normalize(spark, d):
 
 
 _GRAMS = f"""
-w AS (SELECT conv_id, turn, {_OWN} AS w FROM conversations WHERE role = 'assistant'),
+w AS (SELECT conv_id, turn, text, {_OWN} AS w FROM conversations WHERE role = 'assistant'),
 g AS (SELECT conv_id, turn, i, array_to_string(w[i:i + 1], ' ') AS gram, len(w) AS n FROM w, unnest(range(1, greatest(len(w) - 1, 0) + 1)) t(i)),
 c AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn, gram ORDER BY i) AS seen FROM g)"""
 
 
 @query("trim_repeats", f"""
 WITH {_GRAMS}, f AS (SELECT conv_id, turn, min(i - 1) AS keep FROM c WHERE seen > 2 AND i - 1 + 2 >= 8 GROUP BY conv_id, turn)
-SELECT w.conv_id, w.turn, CASE WHEN keep >= 8 THEN array_to_string(w[1:keep], ' ') ELSE array_to_string(w, ' ') END AS text, coalesce(keep >= 8, false) AS trimmed
+SELECT w.conv_id, w.turn, CASE WHEN keep >= 8 THEN array_to_string(w[1:keep], ' ') ELSE w.text END AS text, coalesce(keep >= 8, false) AS trimmed
 FROM w LEFT JOIN f USING (conv_id, turn)""")
 def trim_repeats(spark, d):
     c = table(spark, d, "conversations").filter("role = 'assistant'")

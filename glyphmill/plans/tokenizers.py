@@ -15,6 +15,7 @@ freq AS (SELECT token, count(*) AS cnt FROM (SELECT unnest({_TOKENS}) AS token F
 top AS (SELECT token, cnt FROM freq ORDER BY cnt DESC, token LIMIT 496),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 3 AS INTEGER) AS id FROM top
   UNION ALL SELECT unnest(['[UNK]', '[PAD]', '[CLS]', '[SEP]']), unnest([0, 1, 2, 3]))"""
+_MATERIAL = "WITH " + _WORD_VOCAB.replace("freq AS (", "freq AS MATERIALIZED (", 1).replace("vocab AS (", "vocab AS MATERIALIZED (", 1)
 _CHAR_VOCAB = """
 chars AS (SELECT c AS token, count(*) AS cnt FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c HAVING count(*) >= 2),
 alls AS (SELECT token, max(cnt) AS cnt FROM (SELECT * FROM chars UNION ALL SELECT unnest(['й', 'Й', 'ё', 'Ё']), 0) GROUP BY token),
@@ -59,8 +60,8 @@ WITH {_WORD_VOCAB}, x AS (SELECT doc_id, unnest(w) AS token, generate_subscripts
 SELECT doc_id, list_prepend(2, list_append(list(coalesce(id, 0) ORDER BY i), 3)) AS ids FROM x LEFT JOIN vocab USING (token) GROUP BY doc_id""")
 def encode_word(spark, d):
     docs = table(spark, d, "documents")
-    coded = vocab.encode(vocab.exploded(docs, t.word_tokens(F.col("text"))), vocab.word_vocab(docs, 500), ["doc_id"], most=500)
-    return vocab.in_order(coded, ["doc_id"], "id", "ids").select("doc_id", F.concat(F.array(F.lit(vocab.BOS)), "ids", F.array(F.lit(vocab.EOS))).alias("ids"))
+    coded = vocab.code_arrays(docs, t.word_tokens(F.col("text")), vocab.word_vocab(docs, 500), edges=(vocab.BOS, vocab.EOS))
+    return coded.filter(F.size("ids") > 2)
 
 
 @query("encode_word_ids", rf"""
@@ -81,7 +82,7 @@ def decode_word_ids(spark, d):
     return vocab.in_order(vocab.decode(coded, v, ["doc_id"], most=500), ["doc_id"], "token", "t").select("doc_id", F.array_join("t", " ").alias("text"))
 
 
-@query("oov_tokens_anti", rf"WITH {_WORD_VOCAB} SELECT token, cnt FROM freq WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.token = freq.token)")
+@query("oov_tokens_anti", _MATERIAL + " SELECT token, cnt FROM freq ANTI JOIN (SELECT DISTINCT token FROM vocab) v USING (token)")
 def oov_tokens_anti(spark, d):
     docs = table(spark, d, "documents")
     return corpus.word_counts(docs).join(vocab.word_vocab(docs, 500), "token", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,14 +29,19 @@ def step_windows(events: DataFrame, steps: int) -> DataFrame:
     return events.groupBy(F.floor(F.col("event_id") / steps).alias("window")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-def early_stops(events: DataFrame, patience: int, delta: float = 0.0) -> DataFrame:
-    """run, stop: emitted once per run when its value has not improved for so many rows. State is one row per run."""
+def early_stops(events: DataFrame, patience: int, delta: float = 0.0, min_steps: int = 0) -> DataFrame:
+    """run, stop: emitted once per run when its value has not improved for so many rows. State is one row per run.
+
+    Rows before min_steps, and values that are missing or not finite, do not count.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         best, bad, stop = state.get if state.exists else (None, 0, None)
         had = stop is not None
         rows = pd.concat(list(batches)).sort_values("event_id")
         for i, v in zip(rows["event_id"], rows["value"], strict=True):
+            if i < min_steps or v is None or not math.isfinite(v):
+                continue
             if best is None or best - v >= delta:
                 best, bad = float(v), 0
             else:
