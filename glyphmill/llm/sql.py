@@ -30,9 +30,9 @@ FROM d LEFT JOIN cover USING (rid) LEFT JOIN items USING (rid)
 
 OP5 = rf"""
 WITH d AS (
-  SELECT row_number() OVER (ORDER BY conv_id, turn) AS rid, conv_id, turn,
+  SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id,
          regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM conversations),
+  FROM documents),
 n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
 tf AS (SELECT rid, t, count(*) AS c FROM (SELECT rid, unnest(w) AS t FROM d) GROUP BY rid, t),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
@@ -42,9 +42,9 @@ part AS (
   FROM tf JOIN d USING (rid) JOIN df USING (t), n),
 scores AS (
   SELECT q.rid AS query, p.rid, round(sum(q.c * p.idf * p.part), 9) AS score
-  FROM tf q JOIN d ON d.rid = q.rid AND d.conv_id % 20 = 0 JOIN part p ON p.t = q.t GROUP BY q.rid, p.rid),
+  FROM tf q JOIN d ON d.rid = q.rid AND d.doc_id % 20 = 0 JOIN part p ON p.t = q.t GROUP BY q.rid, p.rid),
 best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rid) AS rank FROM scores)
-SELECT q.conv_id, q.turn, CAST(b.rank AS INTEGER) AS rank, h.conv_id AS hit_conv_id, h.turn AS hit_turn, round(b.score, 6) AS score
+SELECT q.doc_id, CAST(b.rank AS INTEGER) AS rank, h.doc_id AS hit_doc_id, round(b.score, 6) AS score
 FROM best b JOIN d q ON q.rid = b.query JOIN d h ON h.rid = b.rid WHERE b.rank <= 10
 """
 
