@@ -240,7 +240,7 @@ def test_sum_of_squares():
     assert number.tolist() == [0, 1, 1, 0, 2] and offset.tolist() == [0, 0, 5, 6, 0]
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     turns = [(i, i % 3, R.choice([sentence(R.randrange(1, 40)), sentence(3), None, "", BASE[0]])) for i in range(400)]
     df = spark.createDataFrame([*turns, turns[20]], "conv_id long, turn long, text string").repartition(3)
     words = [[w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (x or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w] for _, _, x in [*turns, turns[20]]]
@@ -259,9 +259,9 @@ def test_topk(spark):
             for rank, (s, k) in enumerate(sorted(scored)[:10], 1):
                 want[(*qk, rank, *k, round(-s, 6))] += 1
     for rows_per_shard in (64, 32_768):
-        topk_search.SHARD_ROWS, before = rows_per_shard, topk_search.SHARD_ROWS
+        monkeypatch.setattr(topk_search, "SHARD_ROWS", rows_per_shard)
+        monkeypatch.setattr(topk_search, "BLOCK", 16)
         got = rows(topk_search.report(df))
-        topk_search.SHARD_ROWS = before
         assert Counter({k[:5]: v for k, v in got.items()}) == Counter({k[:5]: v for k, v in want.items()})
         scores = {k[:5]: k[5] for k in want}
         assert all(abs(scores[k[:5]] - k[5]) < 2e-6 for k in got)
@@ -499,7 +499,11 @@ def test_shard_search(block, monkeypatch):
     terms = [np.unique(rng.zipf(1.3, 20) % 60).astype(np.int64) for _ in range(300)]
     counts = [rng.integers(1, 4, len(t)).astype(np.int32) for t in terms]
     length = np.array([int(c.sum()) for c in counts])
-    shard = topk_search.Shard(terms, counts, length, float(length.mean()), np.arange(300))
+    if block == 4:
+        monkeypatch.setattr(topk_search, "FREQUENT", 3)
+    size = np.array([len(t) for t in terms])
+    shard = topk_search.Shard(np.concatenate(terms), np.concatenate(counts), size, length, float(length.mean()), [np.arange(300)])
+    asked, want = [], []
     for _ in range(60):
         q = np.unique(rng.zipf(1.3, 15) % 70).astype(np.int64)
         w = rng.random(len(q)) + 0.1
@@ -510,5 +514,7 @@ def test_shard_search(block, monkeypatch):
                     scores[i] += w[q == x][0] * y * 2.2 / (y + 1.2 * (0.25 + 0.75 * length[i] / length.mean()))
         scores = np.round(scores, topk_search.DECIMALS)
         best = [i for i in np.lexsort((np.arange(300), -scores))[:10] if scores[i] > 0]
-        ids, got = shard.search(q, w, 10)
-        assert ids.tolist() == best and np.allclose(got, scores[best])
+        asked.append((q, w))
+        want.append((best, scores[best]))
+    for (ids, got), (best, scores) in zip(shard.search(asked, 10), want, strict=True):
+        assert ids.tolist() == best and np.allclose(got, scores)
