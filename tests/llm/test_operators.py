@@ -94,6 +94,20 @@ def test_secret_scan(docs, empty):
     assert secret_scan.report(empty).count() == 0
 
 
+def test_added_secret_spans(spark):
+    """All spans, those of the added rules too, as a plain scan of every rule finds them; matches of any length."""
+    texts = [
+        "x -----BEGIN " + "VERY LONG " * 5 + "PRIVATE KEY----- y", "ghp_" + "Ab1" * 200, "xoxb-" + "12-ab" * 100, "AIza" + "x" * 35, "eyJabcdefgh.abcdefghi.abcdefghij",
+        "token=ghp_" + "z" * 40, "nothing", None, "gho_short",
+    ]
+    out = secret_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in out.collect()}
+    for i, x in enumerate(texts):
+        found = [(m.start(), k, m.end()) for k, r in enumerate(secret_scan.RULES) for m in re.finditer(r.pattern, x or "") if len(m[r.group]) >= r.least]
+        assert got[i] == ",".join(f"{secret_scan.RULES[k].kind}:{a}:{b}" for a, k, b in sorted(found)), i
+    assert all(got[i] for i in range(6)) and not any(got[i] for i in range(6, 9))
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]+") is None
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == ("and", "aki", "kia")

@@ -1,10 +1,13 @@
 """The pipeline's stages and the queries of the operators."""
 
+import re
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tests.compare import SMALL, connection, same
 
-from glyphmill.llm import decontam, jaccard_join, packing, queries, sql
+from glyphmill.llm import decontam, jaccard_join, line_dedup, packing, quality, queries, sql
 
 TABLE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -34,7 +37,42 @@ def test_stages_one_by_one(spark):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    """The whole pipeline gives the pieces that its stages give one after the other, decided anew outside of it."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels, benchmark = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("labels", "benchmark"))
+    scores = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels), keep=["doc_id"]).collect()}
+    kept = docs.filter(F.col("doc_id").isin([i for i, x in scores.items() if x >= quality.THRESHOLD]))
+    lines = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(kept).collect()]
+    kept = spark.createDataFrame([(i, x) for i, x, n in lines if n == 0 or (x or "").strip()], "doc_id long, text string")
+    words = {r.doc_id: [w for w in re.split(r"[ \t-\r]+", (r.text or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}))) if w] for r in kept.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set() for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a]) * 5 >= len(sets[b]) * 4 and len(sets[b]) * 5 >= len(sets[a]) * 4 and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = kept.filter(F.col("doc_id").isin([i for i in sets if find(i) == i]))
+    clean = decontam.contamination(kept, benchmark).filter("not contaminated").select("doc_id")
+    want = packing.pack(kept.join(clean, "doc_id")).select("doc_id", "piece", "start", "length", "ids_crc32")
+    got = corpus_pipeline.run(spark, SMALL)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(tuple(r) for r in want.collect()) and got.count() > 0
+
+
+def test_stages_with_clashing_columns_and_long_texts(spark):
+    """Extra columns with names that the operators use inside stay as they are; a text of 1 MB passes."""
+    rows = [(1, "word " * 200_000, "en", "a", None, 7, "r", 1.5), (2, "some text here", "en", "b", 14, 8, "s", 2.5), (2, "some text here", "en", "b", 14, 8, "s", 2.5)]
+    data = spark.createDataFrame(rows, f"{TABLE}, key long, rid string, score double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, data, SMALL)
+        wanted = [c for c in data.columns if not (name == "quality_classifier" and c == "score")]
+        assert set(wanted) <= set(out.columns), name
+        assert {(r.doc_id, r.key, r.rid) for r in out.collect()} <= {(1, 7, "r"), (2, 8, "s")}
+    assert {r.doc_id for r in packing.pack(data).collect()} == {1, 2}
 
 
 def test_stages_on_hard_rows(spark):
