@@ -6,13 +6,15 @@ the matrix with its transpose holds all overlaps. It is never formed whole:
 1. Rows that are equal are one class (copies cost nothing more).
 2. A pair of Jaccard similarity t or more shares a column among the first n - ceil(t * n) + 1
    of either row, in any order of columns that is the same for all rows. The order here: a
-   fifth of the columns, by hash, goes first, of them those of one class only, then by
-   frequency. So the few columns that decide are rare ones, and frequencies of a fifth of the
-   columns suffice; a row whose first columns are its own has no partner.
+   part of the columns, by hash, goes first, of them those of one class only, then by
+   frequency. So the few columns that decide are rare ones, and frequencies of that part of the
+   columns suffice (a fifth for t = 0.85: somewhat more than a row's deciding ones); a row whose
+   first columns are its own has no partner.
 3. Classes that share such a column, directly or through others, make a cluster. A cluster
-   beyond BLOCK_SHINGLES is cut by size of row, so that partners lie in the same or in
-   neighbouring bands, and each band into blocks; each pair of blocks of the same or of
-   neighbouring bands is one block of the product, the others are excluded by the size bounds.
+   beyond BLOCK_SHINGLES is cut by size of row into bands; a row that is small enough to have
+   a partner in the band below takes part there too, all other bands are excluded by the size
+   bounds. Bands beyond BLOCK_SHINGLES are cut into blocks; each pair of these is one block of
+   the product.
 4. In a block, overlap counts of one row at a time accumulate from postings, pairs outside the
    size bounds are discarded, and rows already linked are skipped; so a group of very many near
    copies costs links, not pairs.
@@ -37,7 +39,7 @@ from .common import Spool, only, sifted
 from .components import connected
 from .wordhash import BLANKS, WordHasher, combine, mix, text_blocks
 
-SHINGLE, PERCENT, FIRST_OF, BLOCK_SHINGLES = 4, 85, 5, 2_000_000
+SHINGLE, PERCENT, BLOCK_SHINGLES = 4, 85, 2_000_000
 _LOWER = bytes(range(256)).lower()
 
 
@@ -76,7 +78,14 @@ def first_columns(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def first_part(percent: int) -> int:
+    """One of so many columns, by hash, goes first: a quarter more than the share that decides."""
+    return max(2, int(0.8 / max(0.02, 1 - percent / 100) + 1e-9))
+
+
 def _signatures(shingle: int, percent: int):
+    part_of = np.uint64(first_part(percent))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
@@ -84,7 +93,7 @@ def _signatures(shingle: int, percent: int):
                 part = batch.slice(begin, 512)
                 n, cid, early, lists = [], [], [], []
                 for grams in shingler.column(part.column(1)):
-                    is_first = grams % np.uint64(FIRST_OF) == 0
+                    is_first = grams % part_of == 0
                     own = grams[is_first]
                     if (lack := first_columns(len(grams), percent) - len(own)) > 0 and len(grams):
                         lists.append(np.concatenate([own, grams[~is_first][:lack]]))
@@ -150,9 +159,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, once: int | None = Non
         if not batch.num_rows:
             continue
         if once is not None:  # of rows that follow each other with equal keys and this column, only the first is held
-            c = batch.column(once).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(np.append(c[0] != last_once, c[1:] != c[:-1])))
-            last_once = c[-1]
+            c = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (*range(keys), once)])
+            fresh = np.append(True, (c[:, 1:] != c[:, :-1]).any(axis=0))
+            fresh[0] = last_once is None or (c[:, 0] != last_once).any()
+            last_once = c[:, -1]
+            batch = batch.filter(pa.array(fresh))
             if not batch.num_rows:
                 continue
         k = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
@@ -212,26 +223,25 @@ def _clusters(sigs: DataFrame, spool: Spool, percent: int) -> DataFrame:
 
 
 def _cells(members: DataFrame, spool: Spool, percent: int) -> DataFrame:
-    """cluster, i, j (a block of the product), cid, rk, n: where each class takes part.
-
-    The bands of a cluster are few (a size grows by a fixed factor from one to the next), so
-    their numbers of blocks fit in a map.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(100 / percent))).cast("long") if percent < 100 else F.col("n")
-    sized = members.groupBy("cluster", band.alias("band")).agg(F.sum("n").alias("weight"))
-    entry = F.struct("band", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("long").alias("nb"))
-    wide = sized.groupBy("cluster").agg(F.sum("weight").alias("all"), F.map_from_entries(F.collect_list(entry)).alias("nb"))
-    wide = spool.put(wide.filter(F.col("all") > BLOCK_SHINGLES).select("cluster", "nb"), "wide")
-    m = members.join(wide, "cluster", "left").withColumn("band", band)
-    blocks = lambda d: F.coalesce(F.try_element_at("nb", F.col("band") + d), F.lit(0).cast("long"))
-    number = lambda band, b: F.shiftleft(band, 32) + b
-    side = lambda d: F.when(
-        blocks(d) > 0, F.transform(F.sequence(F.lit(0).cast("long"), blocks(d) - 1), lambda b: number(F.col("band") + d, b))
-    ).otherwise(F.array().cast("array<bigint>"))
-    own = F.when(F.col("nb").isNull(), F.lit(0).cast("long")).otherwise(number(F.col("band"), F.pmod(F.xxhash64("cid"), blocks(0))))
-    others = F.when(F.col("nb").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.concat(side(-1), side(0), side(1)))
-    m = m.select("cluster", "cid", "rk", "n", own.alias("own"), F.explode(others).alias("o"))
-    return m.select("cluster", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cid", "rk", "n")
+    """cluster, i, j (a block of the product), cid, rk, n: where each class takes part."""
+    wide = members.groupBy("cluster").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK_SHINGLES)
+    wide = spool.put(wide.select("cluster", F.lit(True).alias("wide")), "wide")
+    m = members.join(wide, "cluster", "left")
+    zero = F.lit(0).cast("long")
+    whole = m.filter(F.col("wide").isNull()).select("cluster", zero.alias("i"), zero.alias("j"), "cid", "rk", "n")
+    # A band's sizes grow by four times what partners can differ by, so about a quarter of its rows have partners below it.
+    step = 4 * math.log(100 / min(percent, 99))
+    band = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
+    reaches_below = F.col("n") * (percent / 100) <= F.exp(F.col("own") * step) * (1 + 1e-9)
+    m = m.filter(F.col("wide").isNotNull()).withColumn("own", band)
+    m = m.withColumn("cell", F.explode(F.when(reaches_below, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))))
+    sized = m.groupBy("cluster", "cell").agg(F.sum("n").alias("weight"), F.max(F.col("own") == F.col("cell")).alias("lived"))
+    sized = spool.put(sized.filter("lived").select("cluster", "cell", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("long").alias("nb")), "bands")
+    m = m.join(sized, ["cluster", "cell"]).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")))
+    m = m.withColumn("o", F.explode(F.sequence(zero, F.col("nb") - 1)))
+    number = lambda x: F.shiftleft(F.col("cell"), 32) + x
+    cut = m.select("cluster", number(F.least("b", "o")).alias("i"), number(F.greatest("b", "o")).alias("j"), "cid", "rk", "n")
+    return whole.unionByName(cut)
 
 
 def components(
@@ -265,7 +275,7 @@ def components(
     keyed = spool.put(classes.join(roots, "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("key")), "keyed")
     least = spool.put(keyed.groupBy("key").agg(F.min("least").alias("component_id")), "least")
     labels = spool.put(keyed.join(least, "key").select("cid", "component_id"), "labels")
-    for name in ("clusters", "members", "cells", "wide", "links", "roots", "keyed", "least", "classes", "deciding", "leaders"):
+    for name in ("clusters", "members", "cells", "wide", "bands", "links", "roots", "keyed", "least", "classes", "deciding", "leaders"):
         spool.drop(name)
     out = narrow.join(labels, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

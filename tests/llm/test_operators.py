@@ -354,6 +354,19 @@ def test_jaccard_bridges_and_repeated_ids(spark, block, monkeypatch):
         assert by == [(0, 0), (0, 1), (1, 1), (2, 1), (7, 7), (7, 7)] + [(9, 9)] * 60
 
 
+def test_jaccard_bands(spark, monkeypatch):
+    """A cluster of rows of very different sizes, cut into bands and blocks, keeps all its links."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 40)
+    texts = [" ".join(f"v{k}" for k in range(3 + int(1.09**i))) for i in range(70)]  # each a beginning of the next
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for percent in (80, 85, 100):
+        got = {r.doc_id: r.component_id for r in jaccard_join.components(docs, 4, percent).collect()}
+        size, want = [max(1, len(x.split()) - 3) for x in texts], {0: 0}
+        for i in range(1, 70):  # a beginning of the next: the overlap is the smaller one
+            want[i] = want[i - 1] if texts[i] == texts[i - 1] or (100 * size[i - 1] >= percent * size[i] and len(texts[i - 1].split()) > 3) else i
+        assert got == want, percent
+
+
 def test_link_block():
     for _ in range(60):
         base = [set(R.sample(range(60), R.randrange(1, 30))) for _ in range(4)]
