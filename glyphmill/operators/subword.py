@@ -57,24 +57,40 @@ def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[s
         n, best = heapq.heappop(heap)
         if counts.get(best) != -n:
             continue
-        changed: set[tuple[str, str]] = set()
         merges.append(best)
+        changed: set[tuple[str, str]] = set()
+        left, right = best
         for i in where.pop(best, ()):
             s, n = words[i]
-            for p in zip(s, s[1:], strict=False):
-                counts[p] -= n
-                changed.add(p)
-            out = []
-            for c in s:
-                if out and (out[-1], c) == best:
-                    out[-1] += c
+            out, made, k, last = [], [], 0, len(s) - 1
+            while k <= last:
+                if k < last and s[k] == left and s[k + 1] == right:
+                    made.append(len(out))
+                    out.append(left + right)
+                    k += 2
                 else:
-                    out.append(c)
+                    out.append(s[k])
+                    k += 1
+            if not made:
+                continue
             words[i] = (out, n)
-            for p in zip(out, out[1:], strict=False):
-                counts[p] += n
-                where[p].add(i)
-                changed.add(p)
+            # Only pairs beside a merge change: those before it at its old place (two symbols later per merge before it), and the new ones.
+            for j, at in enumerate(made):
+                old = at + j
+                before_merge = j and made[j - 1] == at - 1
+                gone = [(left, right)] if before_merge or old == 0 else [(s[old - 1], left), (left, right)]
+                if old + 2 <= last:
+                    gone.append((right, s[old + 2]))
+                for p in gone:
+                    counts[p] -= n
+                    changed.add(p)
+                fresh = [] if before_merge or at == 0 else [(out[at - 1], out[at])]
+                if at + 1 < len(out):
+                    fresh.append((out[at], out[at + 1]))
+                for p in fresh:
+                    counts[p] += n
+                    where[p].add(i)
+                    changed.add(p)
         counts.pop(best, None)
         for p in changed - {best}:
             if counts[p] > 0:
