@@ -1,8 +1,7 @@
-"""Subword tokenizers: counts in Catalyst, merges learned from word counts, encoding in Arrow batches.
+"""What subword tokenizers are made of: pair counts, merges, longest and best segmentations, the Arrow map that encodes.
 
-Learning sees all word types with their counts, not the corpus; they are gathered on the driver,
-whose memory grows with the number of types. Encoding is a map over batches with the learned
-table in the closure.
+Merges are learned from all word types with their counts, not from the corpus; the types lie on the
+driver, whose memory grows with their number. codec.py puts the parts together.
 """
 
 from __future__ import annotations
@@ -17,18 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as t
 from .corpus import word_counts
 
 LONGEST_PIECE = 128
 
 
-def word_types(docs: DataFrame, mark: str = " ") -> dict[str, int]:
-    """Counts of all blank-separated words, each with the mark that stands for the blank before it."""
-    words = docs.select(F.explode_outer(t.blank_words(F.col("text"))).alias("token")).filter("token is not null").groupBy("token").agg(F.count("*").alias("cnt"))
-    return {mark + r.token: r.cnt for r in words.toLocalIterator()}
-
-
 def pair_counts(docs: DataFrame) -> DataFrame:
     """a, b, cnt: neighbouring characters within words, weighted by word counts."""
     chars = word_counts(docs).select("cnt", F.array_remove(F.split("token", ""), "").alias("c"))
@@ -37,10 +29,11 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("p.a", "p.b").agg(F.sum("cnt").alias("cnt"))
 
 
-def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[str]] = list) -> tuple[list[str], list[tuple[str, str]]]:
+def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[str]] = list, alphabet: list[str] | None = None) -> tuple[list[str], list[tuple[str, str]]]:
     """Base symbols and merges of byte-pair encoding: the most frequent pair each time, ties by the pair.
 
-    Pairs keep the words they occur in, so a merge touches only those.
+    Pairs keep the words they occur in, so a merge touches only those. The base is the given
+    alphabet, else the symbols of the types.
     """
     words = [(split(w), n) for w, n in sorted(types.items())]
     counts: Counter = Counter()
@@ -49,7 +42,7 @@ def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[s
         for p in zip(s, s[1:], strict=False):
             counts[p] += n
             where[p].add(i)
-    base = sorted({c for s, _ in words for c in s})
+    base = sorted({c for s, _ in words for c in s}) if alphabet is None else list(alphabet)
     merges: list[tuple[str, str]] = []
     heap = [(-n, p) for p, n in counts.items()]  # entries of counts that have changed since are passed over
     heapq.heapify(heap)
@@ -100,38 +93,27 @@ def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[s
     return base, merges
 
 
-def apply_merges(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
-    """The lowest-ranked pair first, everywhere, until none is left."""
-    s = list(symbols)
-    while len(s) > 1:
-        best = min(zip(s, s[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
-        if best not in rank:
-            break
-        out = []
-        for c in s:
-            if out and (out[-1], c) == best:
-                out[-1] += c
-            else:
-                out.append(c)
-        s = out
-    return s
-
-
 class Trie:
-    """Longest and all prefixes of a vocabulary."""
+    """Longest and all prefixes of a vocabulary. A search ends where no piece begins so, whatever the longest one is."""
 
     def __init__(self, pieces: dict[str, int | float]):
         self._of = pieces
-        self.longest_piece = min(LONGEST_PIECE, max(map(len, pieces), default=1))
+        self._begun = {p[:n] for p in pieces for n in range(1, min(len(p), LONGEST_PIECE) + 1)}
 
-    def longest(self, s: str, at: int) -> str | None:
-        for n in range(min(self.longest_piece, len(s) - at), 0, -1):
-            if s[at : at + n] in self._of:
-                return s[at : at + n]
-        return None
+    def prefixes(self, s: str, at: int, end: int | None = None) -> list[str]:
+        """Pieces at a place, the shortest first, none beyond the end."""
+        out = []
+        for e in range(at + 1, (len(s) if end is None else end) + 1):
+            p = s[at:e]
+            if p not in self._begun:
+                break
+            if p in self._of:
+                out.append(p)
+        return out
 
-    def prefixes(self, s: str, at: int) -> list[str]:
-        return [s[at : at + n] for n in range(1, min(self.longest_piece, len(s) - at) + 1) if s[at : at + n] in self._of]
+    def longest(self, s: str, at: int, end: int | None = None) -> str | None:
+        found = self.prefixes(s, at, end)
+        return found[-1] if found else None
 
 
 def longest_match(s: str, trie: Trie) -> list[str | None]:
@@ -159,31 +141,6 @@ def best_pieces(s: str, trie: Trie, score: dict[str, float], unknown: float) ->
     return out[::-1]
 
 
-def learn_unigram(types: dict[str, int], size: int, longest: int = 16, rounds: int = 4) -> dict[str, float]:
-    """Pieces with log probabilities: frequent substrings, re-estimated by best segmentations and pruned to the size."""
-    seeds: Counter = Counter()
-    for w, n in types.items():
-        for i in range(len(w)):
-            for j in range(i + 1, min(len(w), i + longest) + 1):
-                seeds[w[i:j]] += n
-    chars = {c for w in types for c in w}
-    kept = {p for p, _ in sorted(seeds.items(), key=lambda x: (-x[1] * len(x[0]), x[0]))[: 4 * size]} | chars
-    total = sum(seeds[p] for p in kept)
-    score = {p: math.log(seeds[p] / total) for p in kept}
-    for _ in range(rounds):
-        trie, used = Trie(score), Counter()
-        for w, n in types.items():
-            for p in best_pieces(w, trie, score, -20.0):
-                used[p] += n
-        total = sum(used.values()) + len(chars)
-        wanted = max(size, len(score) * 3 // 4)
-        ranked = sorted(used, key=lambda p: (-used[p], p))
-        pieces = chars | set(ranked[: max(0, wanted - len(chars))])
-        score = {p: math.log((used[p] + (p in chars)) / total) for p in pieces if used[p] or p in chars}
-    ranked = sorted(score, key=lambda p: (p not in chars, -score[p], p))[: max(size, len(chars))]
-    return {p: score[p] for p in ranked}
-
-
 def encode(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids: an Arrow map; the factory runs once per task."""
 
@@ -209,61 +166,6 @@ def _cached(code: Callable[[str], list[int]], most: int = 100_000) -> Callable[[
     return run
 
 
-def bpe(types: dict[str, int], size: int, as_bytes: bool = False) -> Callable[[], Callable[[str], list[int]]]:
-    """An encoder factory; with as_bytes, symbols are bytes (as Latin-1 characters)."""
-    split = (lambda w: [chr(b) for b in w.encode()]) if as_bytes else list
-    base, merges = learn_merges(types, size, split)
-    if as_bytes:
-        base = [chr(b) for b in range(256)]
-    vocab = {p: i + 1 for i, p in enumerate(dict.fromkeys([*base, *(a + b for a, b in merges)]))}
-    rank = {m: i for i, m in enumerate(merges)}
-
-    def make() -> Callable[[str], list[int]]:
-        word = _cached(lambda w: [vocab.get(p, 0) for p in apply_merges(split(w), rank)])
-        return lambda x: [i for w in x.split() for i in word(" " + w)]
-
-    return make
-
-
-def wordpiece(types: dict[str, int], size: int) -> Callable[[], Callable[[str], list[int]]]:
-    """Greedy longest match; pieces within a word carry ##. A word with an unknown part is unknown whole."""
-    base, merges = learn_merges({w.strip(): n for w, n in types.items()}, size, lambda w: [w[:1], *("##" + c for c in w[1:])])
-    pieces = dict.fromkeys([*base, *(a + b.replace("##", "", 1) for a, b in merges)])
-    vocab = {p: i + 1 for i, p in enumerate(pieces)}
-    longest = max(map(len, vocab), default=1)
-
-    def code(w: str) -> list[int]:
-        out, at = [], 0
-        while at < len(w):
-            for end in range(min(len(w), at + longest), at, -1):
-                p = ("##" if at else "") + w[at:end]
-                if p in vocab:
-                    out.append(vocab[p])
-                    at = end
-                    break
-            else:
-                return [0]
-        return out
-
-    def make() -> Callable[[str], list[int]]:
-        word = _cached(code)
-        return lambda x: [i for w in x.split() for i in word(w)]
-
-    return make
-
-
-def unigram(types: dict[str, int], size: int) -> Callable[[], Callable[[str], list[int]]]:
-    score = learn_unigram(types, size)
-    vocab = {p: i + 1 for i, p in enumerate(score)}
-
-    def make() -> Callable[[str], list[int]]:
-        trie = Trie(score)
-        word = _cached(lambda w: [vocab.get(p, 0) for p in best_pieces(w, trie, score, -20.0)])
-        return lambda x: [i for w in x.split() for i in word(" " + w)]
-
-    return make
-
-
 def longest_matcher(vocab: dict[str, int]) -> Callable[[], Callable[[str], list[int]]]:
     """Greedy longest match over the whole text, blanks with the piece after them; unknown characters are 0."""
 
@@ -274,6 +176,22 @@ def longest_matcher(vocab: dict[str, int]) -> Callable[[], Callable[[str], list[
     return make
 
 
+def segment_spans(text: str, starts: list[bool], trie: Trie) -> list[tuple[int, int]]:
+    """Spans of pieces between given boundaries: a whole segment that is a piece, else the longest pieces within it.
+
+    Flags that are missing are no boundaries; a character of no piece is a span.
+    """
+    cuts = [0, *(i for i, x in enumerate(starts[: len(text)]) if x and i), len(text)] if text else []
+    spans = []
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        at = begin
+        while at < end:
+            piece = trie.longest(text, at, end)
+            spans.append((at, at + len(piece or " ")))
+            at = spans[-1][1]
+    return spans
+
+
 def viterbi_spans(text: str, probabilities: list[float], trie: Trie, reward: float = 0.35, eps: float = 1e-6) -> list[tuple[int, int]]:
     """Spans of pieces (or single characters where none begins) of greatest total gain.
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as t
-from ..operators import corpus, subword, vocab
+from ..operators import codec, corpus, subword, vocab
 from .registry import query, table
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\n')"
@@ -122,29 +122,88 @@ def bpe_pair_counts(spark, d):
     return subword.pair_counts(table(spark, d, "documents"))
 
 
-def _coded(spark, d, factory):
+_SIZE = 600
+
+
+def _coded(spark, d, kind):
+    docs = table(spark, d, "documents")
+    coded = codec.train(kind, docs, _SIZE).encode(docs)
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("digest"))
+
+
+def _round_trip(spark, d, kind):
     docs = table(spark, d, "documents")
-    return subword.encode(docs, factory(subword.word_types(docs), 400)).select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("digest"))
+    c = codec.train(kind, docs, _SIZE)
+    return c.decoded(c.encode(docs))
 
 
 @query("bpe_encode")
 def bpe_encode(spark, d):
-    return _coded(spark, d, subword.bpe)
+    return _coded(spark, d, "bpe")
 
 
 @query("byte_bpe_encode")
 def byte_bpe_encode(spark, d):
-    return _coded(spark, d, lambda types, size: subword.bpe(types, size, as_bytes=True))
+    return _coded(spark, d, "byte_bpe")
 
 
 @query("wordpiece_encode")
 def wordpiece_encode(spark, d):
-    return _coded(spark, d, subword.wordpiece)
+    return _coded(spark, d, "wordpiece")
 
 
 @query("unigram_encode")
 def unigram_encode(spark, d):
-    return _coded(spark, d, subword.unigram)
+    return _coded(spark, d, "unigram")
+
+
+@query("bpe_roundtrip", "SELECT doc_id, text FROM documents")
+def bpe_roundtrip(spark, d):
+    """Encoding and decoding give every text back, blanks and line ends included."""
+    return _round_trip(spark, d, "bpe")
+
+
+@query("byte_bpe_roundtrip", "SELECT doc_id, text FROM documents")
+def byte_bpe_roundtrip(spark, d):
+    return _round_trip(spark, d, "byte_bpe")
+
+
+@query("wordpiece_roundtrip", "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def wordpiece_roundtrip(spark, d):
+    return _round_trip(spark, d, "wordpiece")
+
+
+@query("unigram_roundtrip", "SELECT doc_id, text FROM documents")
+def unigram_roundtrip(spark, d):
+    """Characters beyond the coverage come back from their bytes."""
+    return _round_trip(spark, d, "unigram")
+
+
+@query("morpheme_roundtrip", "SELECT doc_id, lower(text) AS text FROM documents")
+def morpheme_roundtrip(spark, d):
+    return _round_trip(spark, d, "morpheme")
+
+
+@query("word_detokenized", f"""
+WITH {_WORD_VOCAB.replace("LIMIT 496", "LIMIT 596")}, x AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)),
+k AS (SELECT doc_id, string_agg(token, ' ' ORDER BY i) AS s FROM x JOIN (SELECT token FROM top) USING (token) GROUP BY doc_id)
+SELECT doc_id, replace(replace(replace(coalesce(s, ''), ' .', '.'), ' ,', ','), ' ' || chr(10), chr(10)) AS text FROM documents LEFT JOIN k USING (doc_id)""")
+def word_detokenized(spark, d):
+    """Known words only: an unknown one is a special token, which decoding drops."""
+    return _round_trip(spark, d, "word_level")
+
+
+@query("surface_pieces", r"""
+WITH p AS (SELECT item_id, text, regexp_extract_all(lower(text), '\n| |[!-/:-@\[-`{-~]|[0-9]|[^\n !-/:-@\[-`{-~0-9]+') AS p FROM benchmark),
+x AS (SELECT item_id, text, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM p),
+o AS (SELECT *, coalesce(sum(len(piece)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM x)
+SELECT item_id, CAST(i - 1 AS INTEGER) AS pos, CAST(before_ AS BIGINT) AS start, piece, substring(text, CAST(before_ AS BIGINT) + 1, len(piece)) AS surface FROM o""")
+def surface_pieces(spark, d):
+    """Pieces of the lower-cased text, where they begin and how the text writes them."""
+    items = table(spark, d, "benchmark").select("item_id", "text", F.posexplode_outer(t.morph_words(F.col("text"))).alias("pos", "piece")).filter("piece is not null")
+    own = Window.partitionBy("item_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.char_length("piece").cast("long")).over(own), F.lit(0))
+    return items.select("item_id", "pos", start.alias("start"), "piece", F.substring("text", (start + 1).cast("int"), F.char_length("piece")).alias("surface"))
 
 
 _PIECES = """
@@ -173,20 +232,10 @@ def greedy_longest_match(spark, d):
 @query("morpheme_encode")
 def morpheme_encode(spark, d):
     """Pieces between blanks, symbols and digits, blanks joined to the next one, greedily matched."""
-    docs = table(spark, d, "documents")
-    pieces = docs.select(F.explode_outer(t.merge_blanks(t.morph_words(F.col("text")))).alias("token")).filter("token <> ''").groupBy("token").agg(F.count("*").alias("cnt"))
-    chars = [r.token for r in corpus.char_counts(docs.select(F.lower("text").alias("text"))).select("token").orderBy("token").collect()]  # an alphabet
-    tokens = dict.fromkeys([*chars, *(r.token for r in corpus.top_tokens(pieces, 1000).collect())])
-    return subword.encode(docs.select("doc_id", F.lower("text").alias("text")), subword.longest_matcher({p: i + 1 for i, p in enumerate(tokens)})).select(
-        "doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("digest")
-    )
-
+    return _coded(spark, d, "morpheme")
 
-_SPANS = ArrayType(ArrayType(IntegerType()))
 
-
-@query("viterbi_segment")
-def viterbi_segment(spark, d):
+def _spans(spark, d, cut):
     """Boundary probabilities are an input column; here a hash of place and text stands for a model's output."""
     items = table(spark, d, "benchmark").select("item_id", "text")
     chars = F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)))
@@ -199,12 +248,23 @@ def viterbi_segment(spark, d):
 
         trie = subword.Trie(pieces)
         for b in batches:
-            spans = [subword.viterbi_spans(x or "", p or [], trie) for x, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            spans = [cut(x or "", p or [], trie) for x, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32())))], ["item_id", "spans"])
 
     return items.mapInArrow(run, "item_id long, spans array<array<int>>")
 
 
+@query("viterbi_segment")
+def viterbi_segment(spark, d):
+    return _spans(spark, d, subword.viterbi_spans)
+
+
+@query("segment_tokens")
+def segment_tokens(spark, d):
+    """Hard boundaries at probabilities above 0.8; pieces do not cross them. Tested against the definition."""
+    return _spans(spark, d, lambda x, p, trie: subword.segment_spans(x, [v > 0.8 for v in p], trie))
+
+
 @query("roundtrip_check", """
 SELECT doc_id, len(text) AS chars, trim(regexp_replace(text, '\\s+', ' ', 'g')) = text AS exact FROM documents""")
 def roundtrip_check(spark, d):

@@ -1,23 +1,94 @@
-"""Subword queries learn from every word type."""
+"""Subword tokenizers learn from every type, give texts back and can be kept."""
 
 import pytest
 
-from glyphmill.operators import subword
-from glyphmill.plans import registry
+from glyphmill.operators import codec, subword
 
+TEXTS = ["the lower  lowest\nnew newest wide\t widest ", " leading", "", "a" * 300, "Ünïcode é — 漢字 🙂 end", "the low the low\n\n\nthe low", "don't 12,345 x<0x41>y [UNK] ##z"]
 
-@pytest.mark.parametrize("name", ["bpe_encode", "byte_bpe_encode", "wordpiece_encode", "unigram_encode"])
-def test_all_types_are_seen(spark, tmp_path, monkeypatch, name):
-    """20,001 types, of which the last by count and token occurs once."""
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([*enumerate(TEXTS), (99, None)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("kind", ["bpe", "byte_bpe", "wordpiece", "unigram", "morpheme", "char_level"])
+def test_round_trips(spark, docs, tmp_path, kind):
+    c = codec.train(kind, docs, 600)
+    path = f"file://{tmp_path}/{kind}"
+    c.save(spark, path)
+    kept = codec.Codec.load(spark, path)
+    assert kept.kind == c.kind and kept.pieces == c.pieces and kept.merges == c.merges and kept.scores == pytest.approx(c.scores)
+    coded = kept.encode(docs)
+    got = {r.doc_id: r.text for r in kept.decoded(coded).collect()}
+    want = {i: x.lower() if kind == "morpheme" else x for i, x in enumerate(TEXTS)} | {99: ""}
+    assert got == want
+    assert all(kept.decode(r.ids) == want[r.doc_id] for r in coded.collect())
+
+
+@pytest.mark.parametrize("kind", ["byte_bpe", "unigram"])
+def test_unseen_characters_are_bytes(docs, kind):
+    c = codec.train(kind, docs, 400)
+    for x in ("жук ☃", "\x00  ", "ÿ<0x00>"):
+        assert c.decode(c.coder()(x)) == x
+
+
+def test_words_and_specials(docs):
+    c = codec.train("word_level", docs, 40)
+    ids = [codec.vocab.BOS, *c.coder()("The low , QQQ ."), codec.vocab.EOS]
+    assert ids[0] == 2 and 0 in ids and c.decode(ids) == "the low,"  # the texts have no full stop
+    assert c.decode(ids, skip_special=False).startswith("[CLS] the low")
+    assert c.tokens("the") == ["the"]
+    with pytest.raises(ValueError, match="no tokenizer 'x'"):
+        codec.train("x", docs, 10)
+
+
+def _plain_merged(symbols, rank):
+    s = list(symbols)
+    while True:
+        found = [(rank[p], i) for i, p in enumerate(zip(s, s[1:], strict=False)) if p in rank]
+        if not found:
+            return s
+        _, i = min(found)
+        s[i : i + 2] = [s[i] + s[i + 1]]
+
+
+def test_merged_against_the_definition():
+    types = {"abab": 5, "aba": 4, "bcbc": 3, "aaaa": 2, "cab": 2, "abcabc": 1}
+    _, merges = subword.learn_merges(types, 20)
+    rank = {m: i for i, m in reversed(list(enumerate(merges)))}
+    for x in ("", "a", "aaaaaaa", "abcabcabab", "cabcabxaab", "bcbcbcaaab"):
+        assert codec.merged(list(x), rank) == _plain_merged(x, rank)
+    assert len(codec.merged(["a"] * 200_000, {("a", "a"): 0})) == 100_000
+
+
+def test_every_type_is_learned_from(spark):
+    """20,001 types, the last of which occurs once and alone has its characters."""
     rows = [(0, " ".join([f"a{i:05d}" for i in range(20_000)] * 2)), (1, "zzΩ")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    seen = {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for kind in ("bpe", "wordpiece"):
+        c = codec.train(kind, docs, 60)
+        assert 0 not in c.coder()("zzΩ")
+
+
+def test_lexicon(spark):
+    docs = spark.createDataFrame([(i, "Unhappy unhappy dogs") for i in range(5)], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("unhappy", ["un", "happy"]), ("dogs", [])], "word string, morphemes array<string>")
+    c = codec.train_morpheme(docs, 60, lexicon)
+    assert c.tokens("Unhappy unhappy dogs") == ["un", "happy", " un", "happy", " dogs"]
+
+
+def test_surfaces():
+    assert codec.surfaces("The CAT", ["the", " cat"]) == ["The", " CAT"]
+    assert codec.surfaces("The CAT", ["the", "cat"]) == ["the", "cat"]
+    assert codec.surfaces("İx", ["i̇", "x"]) == ["i̇", "x"]
 
-    def learn(types, *_, **__):
-        seen.update(types)
-        return lambda: lambda x: [1]
 
-    for f in ("bpe", "wordpiece", "unigram"):
-        monkeypatch.setattr(subword, f, learn)
-    assert registry.queries()[name](spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "digest"]
-    assert len(seen) == 20_001 and seen[" zzΩ"] == 1
+def test_segments_keep_to_boundaries():
+    trie = subword.Trie({"ab": 0, "abc": 1, "c": 2, "bcd": 3})
+    flags = [False, False, True, False, False, False, True]
+    assert subword.segment_spans("abcdabc", flags, trie) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
+    assert subword.segment_spans("abcd", [], trie) == [(0, 3), (3, 4)]
+    assert subword.segment_spans("abcd", [True, True], trie) == [(0, 1), (1, 4)]
+    assert subword.segment_spans("", [True], trie) == []
+    assert trie.prefixes("abcd", 0) == ["ab", "abc"] and trie.longest("xa", 0) is None
