@@ -333,7 +333,7 @@ def train_morpheme(docs: DataFrame, size: int, lexicon: DataFrame | None = None)
 
     A lexicon (word, morphemes) splits the words it knows; the first morpheme keeps the blank.
     """
-    pieces = chunk_counts(docs, t.merge_blanks(t.morph_words(F.col("text"))))
+    pieces = chunk_counts(docs, t.merged_pieces(F.col("text")))
     if lexicon is not None:
         known = lexicon.select(F.lower("word").alias("w"), F.col("morphemes").alias("m")).filter("size(m) > 0").dropDuplicates(["w"])
         word = F.when(F.col("token").startswith(" ") & (F.char_length("token") > 1), F.substring("token", 2, 1 << 30)).otherwise(F.col("token"))

@@ -60,7 +60,7 @@ m AS (
   FROM m WHERE i <= len(w))
 SELECT item_id, merged FROM m WHERE i > len(w)""")
 def merge_space(spark, d):
-    return table(spark, d, "benchmark").select("item_id", t.merge_blanks(t.morph_words(F.col("text"))).alias("merged"))
+    return table(spark, d, "benchmark").select("item_id", t.merged_pieces(F.col("text")).alias("merged"))
 
 
 @query("edge_strip", f"SELECT item_id, list_transform({_OWN}, lambda w: trim(w, {_EDGES})) AS words FROM benchmark")

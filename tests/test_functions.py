@@ -50,8 +50,9 @@ def test_safe_exp(spark):
     assert one(spark, maths.safe_exp(F.col("x")), x=float("nan")) == float("inf")
 
 
-def test_merge_blanks(spark):
-    assert one(spark, t.merge_blanks(F.array(*map(F.lit, ["a", " ", "b", " ", " ", "c", " "])))) == ["a", " b", "  ", "c", " "]
+def test_merged_pieces(spark):
+    assert one(spark, t.merged_pieces(F.col("x")), x="A b  c ") == ["a", " b", "  ", "c", " "]
+    assert one(spark, t.merged_pieces(F.col("x")), x="x \n-1") == ["x", " \n", "-", "1"]
 
 
 def test_common_prefix(spark):
