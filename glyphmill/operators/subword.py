@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,67 +29,76 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("p.a", "p.b").agg(F.sum("cnt").alias("cnt"))
 
 
+_PAIR = 1 << 31
+
+
+def _weighed(keys: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Distinct keys with the sums of their weights."""
+    own, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, at, weights)
+    return zip(own.tolist(), total.tolist(), strict=True)
+
+
 def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[str]] = list, alphabet: list[str] | None = None) -> tuple[list[str], list[tuple[str, str]]]:
     """Base symbols and merges of byte-pair encoding: the most frequent pair each time, ties by the pair.
 
-    Pairs keep the words they occur in, so a merge touches only those. The base is the given
-    alphabet, else the symbols of the types.
+    All types lie end to end in one array of symbol numbers (twelve bytes a symbol with its
+    weight); a merge looks through it once and recounts only the pairs beside what it joins. The
+    base is the given alphabet, else the symbols of the types.
     """
     words = [(split(w), n) for w, n in sorted(types.items())]
-    counts: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, (s, n) in enumerate(words):
-        for p in zip(s, s[1:], strict=False):
-            counts[p] += n
-            where[p].add(i)
     base = sorted({c for s, _ in words for c in s}) if alphabet is None else list(alphabet)
-    merges: list[tuple[str, str]] = []
-    heap = [(-n, p) for p, n in counts.items()]  # entries of counts that have changed since are passed over
+    names = list(base)
+    number = {c: i for i, c in enumerate(names)}
+    lengths = np.array([len(s) + 1 for s, _ in words], np.int64)
+    symbols = np.fromiter((x for s, _ in words for x in (*(number[c] for c in s), -1)), np.int32, int(lengths.sum()))
+    weights = np.repeat(np.array([n for _, n in words], np.int64), lengths)
+
+    def pairs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+        at = at[(at >= 0) & (at + 1 < len(symbols))]
+        left, right = symbols[at].astype(np.int64), symbols[at + 1].astype(np.int64)
+        ok = (left >= 0) & (right >= 0)
+        return _weighed(left[ok] * _PAIR + right[ok], weights[at[ok]])
+
+    counts = dict(pairs(np.arange(len(symbols))))
+    told = lambda k: (names[k // _PAIR], names[k % _PAIR])
+    heap = [(-n, told(k), k) for k, n in counts.items()]  # entries of counts that have changed since are passed over
     heapq.heapify(heap)
+    merges: list[tuple[str, str]] = []
     while len(base) + len(merges) < size and heap:
-        n, best = heapq.heappop(heap)
-        if counts.get(best) != -n:
+        n, pair, key = heapq.heappop(heap)
+        if counts.get(key) != -n:
             continue
-        merges.append(best)
-        changed: set[tuple[str, str]] = set()
-        left, right = best
-        for i in where.pop(best, ()):
-            s, n = words[i]
-            out, made, k, last = [], [], 0, len(s) - 1
-            while k <= last:
-                if k < last and s[k] == left and s[k + 1] == right:
-                    made.append(len(out))
-                    out.append(left + right)
-                    k += 2
-                else:
-                    out.append(s[k])
-                    k += 1
-            if not made:
-                continue
-            words[i] = (out, n)
-            # Only pairs beside a merge change: those before it at its old place (two symbols later per merge before it), and the new ones.
-            for j, at in enumerate(made):
-                old = at + j
-                before_merge = j and made[j - 1] == at - 1
-                gone = [(left, right)] if before_merge or old == 0 else [(s[old - 1], left), (left, right)]
-                if old + 2 <= last:
-                    gone.append((right, s[old + 2]))
-                for p in gone:
-                    counts[p] -= n
-                    changed.add(p)
-                fresh = [] if before_merge or at == 0 else [(out[at - 1], out[at])]
-                if at + 1 < len(out):
-                    fresh.append((out[at], out[at + 1]))
-                for p in fresh:
-                    counts[p] += n
-                    where[p].add(i)
-                    changed.add(p)
-        counts.pop(best, None)
-        for p in changed - {best}:
-            if counts[p] > 0:
-                heapq.heappush(heap, (-counts[p], p))
+        merges.append(pair)
+        a, b = divmod(key, _PAIR)
+        at = np.flatnonzero(symbols[:-1] == a)
+        at = at[symbols[at + 1] == b]
+        if a == b and len(at):  # of a run every second one
+            first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+        changed = set()
+        for k, v in pairs(np.unique(np.concatenate([at - 1, at, at + 1]))):
+            counts[k] -= v
+            changed.add(k)
+        joined = "".join(pair)
+        if joined not in number:
+            number[joined] = len(names)
+            names.append(joined)
+        symbols[at] = number[joined]
+        keep = np.ones(len(symbols), bool)
+        keep[at + 1] = False
+        symbols, weights = symbols[keep], weights[keep]
+        at = at - np.arange(len(at))
+        for k, v in pairs(np.unique(np.concatenate([at - 1, at]))):
+            counts[k] = counts.get(k, 0) + v
+            changed.add(k)
+        counts.pop(key, None)
+        for k in changed - {key}:
+            if counts[k] > 0:
+                heapq.heappush(heap, (-counts[k], told(k), k))
             else:
-                del counts[p]
+                del counts[k]
     return base, merges
 
 
