@@ -1,8 +1,8 @@
-"""Array functions over token ids: Column to Column, inside Catalyst."""
+"""Array functions over token ids, inside Catalyst."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import positions
@@ -67,3 +67,13 @@ def boundary_masks(starts: Column, length: Column) -> tuple[Column, Column]:
     """Flags of places that begin a segment, and of places inside one."""
     at = positions(0, length - 1)
     return F.transform(at, lambda i: F.array_contains(starts, i).cast("int")), F.transform(at, lambda i: (~F.array_contains(starts, i)).cast("int"))
+
+
+def segment_penalty(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """penalty of rows (key, seg, pos, x, p): over segments whose ids occur less than so often, the p of a start but a row's first, and 1 - p inside."""
+    parts = F.array_sort(F.collect_list(F.struct("pos", "x", "p")))  # a segment is a word
+    s = rows.groupBy(key, "seg").agg(parts.alias("a")).withColumn("piece", F.transform("a", lambda e: e["x"]))
+    known = s.groupBy("piece").count().filter(F.col("count") >= least).select("piece")
+    costs = F.transform("a", lambda e, i: F.when(i > 0, 1 - e["p"]).when(e["pos"] > 0, e["p"]).otherwise(0.0))
+    out = s.join(known, "piece", "left_anti").agg(F.sum(F.aggregate(costs, F.lit(0.0), lambda u, v: u + v)).alias("total"))
+    return out.crossJoin(rows.agg(F.count("*").alias("n"))).select((F.coalesce("total", F.lit(0.0)) / F.greatest(F.lit(1), F.col("n"))).alias("penalty"))  # one row each

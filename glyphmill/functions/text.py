@@ -67,6 +67,12 @@ def slot_chunks(c: Column, most: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / most).cast("int")), lambda i: F.substring(c, i * most + 1, most))
 
 
+def slot_length(c: Column, most: int) -> Column:
+    """How many chunks of at most so many characters the words of a text give."""
+    parts = F.transform(slot_segments(c), lambda w: F.floor((F.greatest(F.char_length(w), F.lit(1)) - 1) / most) + 1)
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def morph_words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(MORPH), F.lit(0))
 

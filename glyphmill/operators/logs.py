@@ -62,3 +62,39 @@ def to_quality(rows: DataFrame, run: str, order: str, value: str, shares: tuple[
     wanted = ends.select(run, F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"), "first", "best")
     wanted = wanted.select(run, "share", (F.col("first") - F.col("share") / 100.0 * (F.col("first") - F.col("best"))).alias("target"))
     return rows.join(wanted, run).filter(F.col(value) <= F.col("target")).groupBy(run, "share").agg(F.min(order).alias("step"))
+
+
+def max_steps(configured: Column, batches: Column, accumulation: Column) -> Column:
+    """A positive configured number; else one pass over the batches."""
+    return F.when(configured > 0, configured).otherwise(F.floor(batches / F.greatest(F.lit(1), accumulation))).cast("long")
+
+
+def steps_per_epoch(recorded: Column, samples: Column, batch: Column, accumulation: Column) -> Column:
+    """The recorded number; else whole optimiser steps of the samples, one at least."""
+    return F.coalesce(recorded, F.greatest(F.lit(1), F.floor(samples / (batch * accumulation)))).cast("long")
+
+
+def axis_band(df: DataFrame, group: str, value: str, low: float, high: float, coverage: float = 0.95, margin: float = 0.04) -> DataFrame:
+    """group, lo, hi: the given band, or up to the value that takes the wanted share of points in, with a margin.
+
+    Where too few points lie above the lower end for that share, the band ends at the largest value.
+    """
+    c = df.groupBy(group, value).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(group)
+    run = F.sum(F.when(F.col(value) >= low, F.col("n")).otherwise(0)).over(own.orderBy(value))
+    r = c.select(group, F.col(value).alias("v"), run.alias("upto"), F.sum("n").over(own).alias("total"))
+    enough = F.min(F.when(F.col("upto") >= F.ceil(F.lit(coverage) * F.col("total")), F.col("v")))
+    top = r.groupBy(group).agg(F.greatest(F.lit(high), F.coalesce(enough, F.max("v"))).alias("h"))
+    wider = F.col("h") + F.greatest((F.col("h") - low) * margin, F.abs("h") * 1e-5, F.lit(1e-6))
+    return top.select(group, F.lit(low).alias("lo"), F.round(F.when(F.col("h") > high, wider).otherwise(F.col("h")), 6).alias("hi"))
+
+
+def stop_gates(df: DataFrame, run: str, step: str, micros: str, speed: str, seconds: int, steps: int, least_speed: float, warm_up: int) -> DataFrame:
+    """run, by_clock, by_steps, by_speed: the first step at which each rule would end the run."""
+    own = Window.partitionBy(run)
+    e = df.select("*", F.row_number().over(own.orderBy(step)).alias("_k"), F.min(micros).over(own).alias("_began"))
+    first = lambda rule: F.min(F.when(rule, F.col(step)))
+    return e.groupBy(run).agg(
+        first(F.col(micros) - F.col("_began") >= seconds * 1_000_000).alias("by_clock"), first(F.col("_k") >= steps).alias("by_steps"),
+        first((F.col("_k") > warm_up) & (F.col(speed) < least_speed)).alias("by_speed"),
+    )

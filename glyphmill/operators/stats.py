@@ -49,3 +49,10 @@ def paired_bootstrap(diffs: DataFrame, resamples: int, seed: int = 42) -> DataFr
         F.round(F.least(F.lit(1.0), 2 * F.least(side(F.col("m") <= 0), side(F.col("m") >= 0))), 6).alias("p"),
     )
     return diffs.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("diff")).join(t, "model")
+
+
+def best_per_metric(means: DataFrame, keys: list[str], higher: Column, least_models: int = 2) -> DataFrame:
+    """keys, best_model, mean, models of rows (keys, model, mean): the greatest mean, or the least where higher is false; ties go by name."""
+    rank = F.struct(F.when(higher, -F.col("mean")).otherwise(F.col("mean")).alias("by"), "model", "mean")
+    g = means.groupBy(*keys).agg(F.min(rank).alias("best"), F.count("*").alias("models")).filter(F.col("models") >= least_models)
+    return g.select(*keys, F.col("best.model").alias("best_model"), F.round("best.mean", 6).alias("mean"), "models")

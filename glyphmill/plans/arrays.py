@@ -160,3 +160,18 @@ def boundary_threshold(spark, d):
     threshold = F.greatest(F.lit(0.02), F.least(F.lit(0.5), F.percentile("p", F.lit(0.8))))
     weight = F.greatest(F.lit(1.0), F.least(F.lit(8.0), F.count_if(F.col("p") <= 0.3) / F.greatest(F.lit(1), F.count_if(F.col("p") > 0.3))))
     return p.groupBy("event_type").agg(F.round(threshold, 6).alias("threshold"), F.round(weight, 6).alias("weight"))
+
+
+@query("oov_segment_penalty", f"""
+WITH {_IDS}, x AS (SELECT item_id, unnest(ids) AS x, generate_subscripts(ids, 1) - 1 AS pos FROM ids),
+g AS (SELECT item_id, pos, x, sum(CASE WHEN pos = 0 OR x % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) AS seg FROM x),
+s AS (SELECT item_id, seg, min(pos) AS first, list(x ORDER BY pos) AS piece FROM g GROUP BY item_id, seg),
+v AS (SELECT piece FROM s GROUP BY piece HAVING count(*) >= 3),
+o AS (SELECT * FROM s ANTI JOIN v USING (piece)),
+p AS (SELECT CASE WHEN pos > first THEN 1 - x * 7919 % 101 / 101.0::DOUBLE WHEN pos > 0 THEN x * 7919 % 101 / 101.0::DOUBLE ELSE 0 END AS p FROM g JOIN o USING (item_id, seg))
+SELECT round(sum(p) / (SELECT count(*) FROM x), 9) AS penalty FROM p""")
+def oov_segment_penalty(spark, d):
+    """Segments that are no piece of the vocabulary (here: of three occurrences or more) cost the probability of their start and what the places inside lack."""
+    seg = F.sum(F.col("is_start").cast("long")).over(Window.partitionBy("item_id").orderBy("pos"))
+    rows = _flags(spark, d).filter("x is not null").withColumn("seg", seg).withColumn("p", F.col("x") * 7919 % 101 / 101.0)
+    return a.segment_penalty(rows, "item_id", 3).select(F.round("penalty", 9).alias("penalty"))

@@ -251,3 +251,26 @@ def repetition_logits(spark, d):
 def safe_exp(spark, d):
     big = maths.safe_exp(F.col("value") * 10) == float("inf")
     return table(spark, d, "events").select("event_id", big.alias("is_inf"), F.round(maths.safe_exp(F.least("value", F.lit(700)) * 0.01), 6).alias("e"))
+
+
+@query("canary_budget", rf"""
+WITH s AS (SELECT len(array_to_string(w[7:], ' ')) AS chars, len(w[7:]) AS words FROM (SELECT {_W} AS w FROM benchmark) WHERE len(w) >= 12)
+SELECT greatest(1, (max(chars) + 10) // 10 * 10, (max(words) + 10) // 10 * 10) AS budget FROM s""")
+def canary_budget(spark, d):
+    """How many new tokens a canary run may need: the longest suffix in characters and words, rounded up to tens."""
+    w = table(spark, d, "benchmark").select(t.blank_words(F.col("text")).alias("w")).filter("size(w) >= 12").select(F.slice("w", F.lit(7), F.size("w")).alias("w"))
+    tens = lambda c: F.floor((F.max(c) + 10) / 10) * 10
+    return w.agg(F.greatest(F.lit(1), tens(F.char_length(F.array_join("w", " "))), tens(F.size("w"))).cast("long").alias("budget"))
+
+
+@query("last_word_benchmark", f"""
+WITH p AS (SELECT lang, {_W} AS w FROM documents),
+s AS (SELECT lang, lower(w[-2]) = lower(w[-1]) AS ok FROM p WHERE len(w) >= 2)
+SELECT lang, lang <> 'en' AS skipped, CASE WHEN lang = 'en' THEN count(*) END AS n, CASE WHEN lang = 'en' THEN round(avg(CAST(ok AS INTEGER)), 6) END AS accuracy FROM s GROUP BY lang""")
+def last_word_benchmark(spark, d):
+    """Only English is scored, other languages are reported as skipped. The word before the last stands for the generation."""
+    w = table(spark, d, "documents").select("lang", t.blank_words(F.col("text")).alias("w")).filter("size(w) >= 2")
+    ok = F.lower(F.element_at("w", -2)) == F.lower(F.element_at("w", -1))
+    g = w.select("lang", ok.cast("int").alias("ok")).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("a"))
+    english = F.col("lang") == "en"
+    return g.select("lang", (~english).alias("skipped"), F.when(english, F.col("n")).alias("n"), F.when(english, F.col("a")).alias("accuracy"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import maths
+from ..functions import text as t
 from ..operators import logs as ops
 from .registry import query, table
 
@@ -159,3 +160,40 @@ def param_fallback(spark, d):
     """Checkpoint, then checkpoint total with the split of the configuration, then the configuration."""
     i, n = F.col("doc_id"), F.col("n_chars")
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.when(i % 3 == 0, n), F.when(i % 2 == 0, n * 2), F.lit(512)).alias("n"))
+
+
+@query("training_steps", """
+WITH n AS (SELECT source, count(*) AS samples, min(doc_id) % 3 AS kind FROM documents GROUP BY source)
+SELECT source, CASE WHEN kind = 0 THEN 500 ELSE samples // 4 END AS max_steps, CASE WHEN kind = 1 THEN 77 ELSE greatest(samples // 12, 1) END AS steps_per_epoch FROM n""")
+def training_steps(spark, d):
+    """Every third source has its steps configured, another its steps per epoch recorded."""
+    n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("samples"), (F.min("doc_id") % 3).alias("kind"))
+    configured, recorded = F.when(F.col("kind") == 0, F.lit(500)).otherwise(F.lit(-1)), F.when(F.col("kind") == 1, F.lit(77))
+    return n.select(
+        "source", ops.max_steps(configured, F.col("samples"), F.lit(4)).alias("max_steps"), ops.steps_per_epoch(recorded, F.col("samples"), F.lit(3), F.lit(4)).alias("steps_per_epoch")
+    )
+
+
+@query("axis_band", """
+WITH c AS (SELECT event_type, value, count(*) AS n FROM events GROUP BY 1, 2),
+r AS (SELECT event_type, value, sum(CASE WHEN value >= 0 THEN n ELSE 0 END) OVER (PARTITION BY event_type ORDER BY value) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM c),
+h AS (SELECT event_type, greatest(3.0::DOUBLE, coalesce(min(value) FILTER (WHERE upto >= ceil(0.95::DOUBLE * total)), max(value))) AS hi FROM r GROUP BY event_type)
+SELECT event_type, 0.0::DOUBLE AS lo, round(CASE WHEN hi > 3 THEN hi + greatest(hi * 0.04::DOUBLE, hi * 0.00001::DOUBLE, 0.000001::DOUBLE) ELSE hi END, 6) AS hi FROM h""")
+def axis_band(spark, d):
+    return ops.axis_band(table(spark, d, "events"), "event_type", "value", 0.0, 3.0)
+
+
+@query("stop_gates", """
+WITH e AS (SELECT user_id AS run, event_id AS step, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, epoch_us(min(ts) OVER (PARTITION BY user_id)) AS began FROM events)
+SELECT run, min(step) FILTER (WHERE us - began >= 3600000000) AS by_clock, min(step) FILTER (WHERE k >= 20) AS by_steps, min(step) FILTER (WHERE k > 5 AND value < 1) AS by_speed FROM e GROUP BY run""")
+def stop_gates(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    return ops.stop_gates(e, "run", "step", "us", "value", seconds=3600, steps=20, least_speed=1.0, warm_up=5)
+
+
+@query("embedding_params", r"""
+SELECT lang, n AS vocabulary, n * 64 AS tied, n * 128 AS untied FROM (SELECT lang, count(DISTINCT token) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\n')) AS token FROM documents) GROUP BY lang)""")
+def embedding_params(spark, d):
+    """Parameters of the embedding, and of embedding and head, for 64 dimensions."""
+    n = table(spark, d, "documents").select("lang", F.explode_outer(t.word_tokens(F.col("text"))).alias("token")).groupBy("lang").agg(F.count_distinct("token").alias("n"))
+    return n.filter("n > 0").select("lang", F.col("n").alias("vocabulary"), (F.col("n") * 64).alias("tied"), (F.col("n") * 128).alias("untied"))

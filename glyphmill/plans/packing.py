@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import packing as ops
+from ..operators import vocab
 from ..sources.readers import corpus_lines
 from .registry import query, table
 
@@ -108,3 +109,28 @@ def pick_latest(spark, d):
     step = F.regexp_extract("name", r"^step_(\d+)$", 1)
     rank = F.when(F.col("name") == "best_model", F.lit(2**63 - 1)).otherwise(step.try_cast("long"))
     return files.groupBy("source").agg(F.max_by("name", rank).alias("name"))
+
+
+@query("slot_token_length", r"""
+WITH s AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '\s*\S+|\s+$'), lambda w:
+  string_split(regexp_replace(w, '([.,!?/:;)\]}])(\p{L})', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS slots FROM documents)
+SELECT doc_id, CAST(coalesce(list_sum(list_transform(slots, lambda w: (greatest(len(w), 1) - 1) // 24 + 1)), 0) AS BIGINT) AS n FROM s""")
+def slot_token_length(spark, d):
+    """Slots of a text: the chunks of at most 24 characters of its words; what packing by slots counts."""
+    return table(spark, d, "documents").select("doc_id", t.slot_length(F.col("text"), 24).alias("n"))
+
+
+@query("plain_text_dataset", r"""
+WITH freq AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\n')) AS token FROM documents) GROUP BY token),
+top AS (SELECT token, cnt FROM freq ORDER BY cnt DESC, token LIMIT 496),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 3 AS INTEGER) AS id FROM top),
+l AS (SELECT doc_id, k - 1 AS pos, trim(string_split(text, chr(10))[k], ' ' || chr(9) || chr(13)) AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(k)),
+w AS (SELECT doc_id || ':' || pos AS line, regexp_extract_all(lower(line), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\n') AS w FROM l WHERE line <> ''),
+x AS (SELECT line, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM w)
+SELECT line, list_prepend(2, list_append(list(coalesce(id, 0) ORDER BY i), 3))[1:32] AS ids FROM x LEFT JOIN vocab USING (token) GROUP BY line""")
+def plain_text_dataset(spark, d):
+    """Stripped lines that are not blank, as ids with their edges, 32 at most (the length of an example is the feature)."""
+    docs = table(spark, d, "documents")
+    lines = corpus_lines(docs).select(F.concat_ws(":", "doc_id", "pos").alias("line"), F.regexp_replace("line", r"^\s+|\s+$", "").alias("text")).filter("text <> ''")
+    coded = vocab.code_arrays(lines, t.word_tokens(F.col("text")), vocab.word_vocab(docs, 500), key="line", edges=(vocab.BOS, vocab.EOS))
+    return coded.filter(F.size("ids") > 2).select("line", F.slice("ids", 1, 32).alias("ids"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import reporting
 from ..operators import stats
 from .registry import query, table
 
@@ -146,3 +147,25 @@ def map_mean(spark, d):
     """Mean over the scorers of a map of scores."""
     m = F.create_map(F.lit("a"), F.char_length("text").cast("double"), F.lit("b"), F.col("item_id").cast("double"), F.lit("c"), F.lit(7.0))
     return table(spark, d, "benchmark").select("item_id", F.round(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x) / F.size(m), 9).alias("mean"))
+
+
+@query("language_summary", """
+WITH s AS (SELECT lang, source AS model, n_chars % 100 AS score, n_chars % 37 AS loss FROM documents WHERE source IS NOT NULL),
+m AS (SELECT lang, 'score' AS metric, true AS higher, model, avg(score) AS mean FROM s GROUP BY lang, model UNION ALL SELECT lang, 'loss', false, model, avg(loss) FROM s GROUP BY lang, model),
+r AS (SELECT *, count(*) OVER (PARTITION BY lang, metric) AS models, row_number() OVER (PARTITION BY lang, metric ORDER BY CASE WHEN higher THEN -mean ELSE mean END, model) AS rn FROM m)
+SELECT lang, metric, model AS best_model, round(mean, 6) AS mean, models FROM r WHERE rn = 1 AND models >= 2""")
+def language_summary(spark, d):
+    """Per language and metric of two models or more: the best model, whichever way the metric points."""
+    s = table(spark, d, "documents").filter("source is not null").groupBy("lang", F.col("source").alias("model"))
+    means = s.agg(F.avg(F.col("n_chars") % 100).alias("score"), F.avg(F.col("n_chars") % 37).alias("loss"))
+    long = means.unpivot(["lang", "model"], ["score", "loss"], "metric", "mean")
+    return stats.best_per_metric(long, ["lang", "metric"], F.col("metric") == "score")
+
+
+@query("details_dropped", "SELECT event_id, event_id % 4 + 1 AS num_examples, value AS score, user_id % 3 + 1 AS num_generations, event_type AS kind FROM events")
+def details_dropped(spark, d):
+    """Nested results without their example lists, which leave their lengths."""
+    listed = lambda c, n: F.sequence(F.lit(0).cast("long"), F.col(c) % n)
+    inner = F.struct(listed("user_id", 3).alias("generations"), F.col("event_type").alias("kind"), F.lit("x").alias("detailed_results_en"))
+    r = table(spark, d, "events").select("event_id", F.struct(F.col("value").alias("score"), listed("event_id", 4).alias("examples"), inner.alias("inner")).alias("result"))
+    return reporting.without_details(r).select("event_id", "result.num_examples", "result.score", "result.inner.num_generations", "result.inner.kind")

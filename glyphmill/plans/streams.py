@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..streaming import stateful as ops
 from .registry import query, table
 
@@ -36,3 +38,17 @@ f AS (
 SELECT run, max(stop) AS stop FROM f GROUP BY run HAVING max(stop) IS NOT NULL""")
 def stream_early_stopping(spark, d):
     return _drained(spark, d, lambda e: ops.early_stops(e, 10), "append")
+
+
+@query("stream_packing", """
+WITH RECURSIVE w AS (SELECT event_type AS bucket, 1 + event_id % 90 AS n, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
+f AS (
+  SELECT DISTINCT bucket, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS sample FROM w
+  UNION ALL
+  SELECT w.bucket, w.rn, CASE WHEN f.used + w.n <= 256 THEN f.used + w.n ELSE w.n END, f.sample + CASE WHEN f.used + w.n <= 256 THEN 0 ELSE 1 END FROM f JOIN w ON w.bucket = f.bucket AND w.rn = f.rn + 1),
+l AS (SELECT bucket, max(sample) AS open_ FROM f GROUP BY bucket)
+SELECT f.bucket, sample AS sample_id, max(used) AS used FROM f JOIN l ON l.bucket = f.bucket AND sample < open_ GROUP BY f.bucket, sample""")
+def stream_packing(spark, d):
+    """The full samples of each type; the open ones wait for more rows."""
+    sized = lambda e: e.select("event_type", "event_id", (1 + F.col("event_id") % 90).alias("n"))
+    return _drained(spark, d, lambda e: ops.packed_samples(sized(e), "event_type", "event_id", "n", 256), "append")

@@ -55,6 +55,43 @@ def early_stops(events: DataFrame, patience: int, delta: float = 0.0, min_steps:
     return events.groupBy("user_id").applyInPandasWithState(update, "run long, stop long", STOP_STATE, "append", "NoTimeout")
 
 
+PACK_STATE = "used long, sample long"
+
+
+def packed_samples(events: DataFrame, bucket: str, order: str, size: str, context: int) -> DataFrame:
+    """bucket, sample_id, used: next-fit samples, emitted once they are full. State is the open sample of each bucket.
+
+    Over-long rows fill whole samples; what is open when the stream ends is not emitted.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        used, sample = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(batches)).sort_values(order)
+        full: list[int] = []
+        for n in rows[size]:
+            n = int(n)
+            if used + n <= context:
+                used += n
+                continue
+            if used:
+                full.append(used)
+            while n > context:
+                full.append(context)
+                n -= context
+            used = n
+        state.update((int(used), int(sample + len(full))))
+        if full:
+            yield pd.DataFrame({"bucket": [key[0]] * len(full), "sample_id": range(sample, sample + len(full)), "used": full})
+
+    return events.groupBy(bucket).applyInPandasWithState(update, "bucket string, sample_id long, used long", PACK_STATE, "append", "NoTimeout")
+
+
+def tailed_log(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """An append-only log of JSON lines as a stream; lines that are no objects come as nulls and go."""
+    rows = spark.readStream.schema(schema).option("mode", "PERMISSIVE").json(folder)
+    return rows.dropna("all")
+
+
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all there is and returns what it has put out."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
