@@ -44,15 +44,15 @@ def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[s
     """Base symbols and merges of byte-pair encoding: the most frequent pair each time, ties by the pair.
 
     All types lie end to end in one array of symbol numbers (twelve bytes a symbol with its
-    weight); a merge looks through it once and recounts only the pairs beside what it joins. The
+    weight, beside the dictionary of types); a merge looks through it once and recounts only the pairs beside what it joins. The
     base is the given alphabet, else the symbols of the types.
     """
-    words = [(split(w), n) for w, n in sorted(types.items())]
-    base = sorted({c for s, _ in words for c in s}) if alphabet is None else list(alphabet)
+    words = sorted(types.items())  # split anew each time, so that no list of symbols per word is kept
+    base = sorted({c for w, _ in words for c in split(w)}) if alphabet is None else list(alphabet)
     names = list(base)
     number = {c: i for i, c in enumerate(names)}
-    lengths = np.array([len(s) + 1 for s, _ in words], np.int64)
-    symbols = np.fromiter((x for s, _ in words for x in (*(number[c] for c in s), -1)), np.int32, int(lengths.sum()))
+    lengths = np.fromiter((len(split(w)) + 1 for w, _ in words), np.int64, len(words))
+    symbols = np.fromiter((x for w, _ in words for x in (*(number[c] for c in split(w)), -1)), np.int32, int(lengths.sum()))
     weights = np.repeat(np.array([n for _, n in words], np.int64), lengths)
 
     def pairs(at: np.ndarray) -> Iterator[tuple[int, int]]:

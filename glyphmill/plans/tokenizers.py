@@ -261,7 +261,7 @@ def viterbi_segment(spark, d):
 
 @query("segment_tokens")
 def segment_tokens(spark, d):
-    """Hard boundaries at probabilities above 0.8; pieces do not cross them. Tested against the definition."""
+    """Hard boundaries at probabilities above 0.8; pieces do not cross them. Tested on worked examples."""
     return _spans(spark, d, lambda x, p, trie: subword.segment_spans(x, [v > 0.8 for v in p], trie))
 
 
