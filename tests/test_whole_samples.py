@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from glyphmill.operators import stats
 from glyphmill.plans import registry
 
 N = {"src0": 45, "src9": 40, "other": 31}
@@ -56,3 +57,20 @@ def test_pairs(spark, folder):
         p = min(1.0, 2 * min(sum(v <= 0 for v in m), sum(v >= 0 for v in m)) / 100)
         assert got[s].n == len(x) and got[s].p == pytest.approx(p)
         assert tied[s] == (p >= 0.05 or quantile(m, 0.025) <= 0)
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_are_not_broadcast_and_not_made_by_one_task(spark):
+    """2 keys of 5,000 and 3 samples, whose draws were made by one task and sent to the driver."""
+    rows = [("a", i, float(i)) for i in range(5_000)] + [("b", i, float(i)) for i in range(3)]
+    samples = spark.createDataFrame(rows, "model string, idx long, value double")
+    got = stats.resampled_means(samples, ["model"], "value", 4)
+    assert "Broadcast" not in _plan(got) and "ShuffledHashJoin" in _plan(got)
+    for r in got.collect():
+        n = 5_000 if r.model == "a" else 3
+        assert r.m == pytest.approx(sum(int(hashlib.md5(f"42:{r.b}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)) / n)
+    assert got.count() == 8
