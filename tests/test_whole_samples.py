@@ -74,3 +74,8 @@ def test_draws_are_not_broadcast_and_not_made_by_one_task(spark):
         n = 5_000 if r.model == "a" else 3
         assert r.m == pytest.approx(sum(int(hashlib.md5(f"42:{r.b}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)) / n)
     assert got.count() == 8
+
+
+@pytest.mark.parametrize("name", ["paired_bootstrap"])
+def test_draws_of_queries_are_shuffled(spark, folder, name):
+    assert "ShuffledHashJoin" in _plan(registry.queries()[name](spark, folder[0]))
