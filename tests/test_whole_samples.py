@@ -76,6 +76,6 @@ def test_draws_are_not_broadcast_and_not_made_by_one_task(spark):
     assert got.count() == 8
 
 
-@pytest.mark.parametrize("name", ["paired_bootstrap"])
+@pytest.mark.parametrize("name", ["paired_bootstrap", "significance_flag"])
 def test_draws_of_queries_are_shuffled(spark, folder, name):
     assert "ShuffledHashJoin" in _plan(registry.queries()[name](spark, folder[0]))
