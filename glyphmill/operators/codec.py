@@ -236,30 +236,25 @@ def chunk_counts(docs: DataFrame, chunks: Column) -> DataFrame:
     return docs.select(F.explode_outer(chunks).alias("token")).filter("token <> ''").groupBy("token").agg(F.count("*").alias("cnt"))
 
 
-def _types(counts: DataFrame) -> dict[str, int]:
-    return {r.token: r.cnt for r in counts.toLocalIterator()}
-
-
 def _blank_chunk_counts(docs: DataFrame) -> DataFrame:
     x = F.regexp_extract_all(F.concat(F.lit(" "), F.col("text")), F.lit(BLANK_CHUNK), F.lit(0))
     return chunk_counts(docs.filter("text <> ''"), x)
 
 
 def train_bpe(docs: DataFrame, size: int) -> Codec:
-    base, merges = subword.learn_merges(_types(_blank_chunk_counts(docs)), size - len(SPECIALS))
+    base, merges = subword.learn(_blank_chunk_counts(docs), size - len(SPECIALS))
     return Codec("bpe", (*SPECIALS, *dict.fromkeys([*base, *(a + b for a, b in merges)])), tuple(merges))
 
 
 def train_byte_bpe(docs: DataFrame, size: int) -> Codec:
     counts = chunk_counts(docs, F.regexp_extract_all(F.col("text"), F.lit("(?U)" + BYTE_CHUNK), F.lit(0)))
-    base, merges = subword.learn_merges(_types(counts), size - len(SPECIALS), _bytes, alphabet=[chr(b) for b in range(256)])
+    base, merges = subword.learn(counts, size - len(SPECIALS), _bytes, alphabet=[chr(b) for b in range(256)])
     return Codec("byte_bpe", (*SPECIALS, *dict.fromkeys([*base, *(a + b for a, b in merges)])), tuple(merges))
 
 
 def train_wordpiece(docs: DataFrame, size: int) -> Codec:
     lines = docs.select(F.explode_outer(F.split(t.nfc(F.col("text")), "\n", -1)).alias("text")).filter("text <> ''")
-    types = _types(_blank_chunk_counts(lines))
-    base, merges = subword.learn_merges(types, size - len(SPECIALS) - 1, lambda w: [w[:1], *("##" + c for c in w[1:])])
+    base, merges = subword.learn(_blank_chunk_counts(lines), size - len(SPECIALS) - 1, lambda w: [w[:1], *("##" + c for c in w[1:])])
     pieces = dict.fromkeys(["\n", *base])
     spelled = {p: p for p in base}
     for a, b in merges:

@@ -1,7 +1,7 @@
 """What subword tokenizers are made of: pair counts, merges, longest and best segmentations, the Arrow map that encodes.
 
-Merges are learned from all word types with their counts, not from the corpus; the types lie on the
-driver, whose memory grows with their number. codec.py puts the parts together.
+Merges are learned from all word types with their counts, not from the corpus. Few types are learned
+from on the driver, more of them where they lie (learn). codec.py puts the parts together.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,220 @@ def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[s
     return base, merges
 
 
+#: The driver holds at most so many types. A block of types has about so many symbols. Merges foretold in a round, and made before blocks are written anew.
+TYPES_ON_DRIVER, BLOCK_SYMBOLS, AHEAD, REWRITE = 20_000, 1 << 20, 64, 64
+
+
+class Symbols:
+    """Types end to end, a separator (-1) before, between and after them.
+
+    A symbol's number stands at the places of its first and of its last base symbol (span: how
+    many it has), so a merge moves nothing: neighbours are found by spans.
+    """
+
+    def __init__(self, first: np.ndarray, weights: np.ndarray, span: list[int]):
+        """first: numbers by place, -2 inside of joined symbols; weights of the types."""
+        self.first, self.last, self.span = first.copy(), first.copy(), np.array(span, np.int64)
+        self.types = weights
+        self.weights = np.append(weights, 0)[np.cumsum(first == -1) - 1]
+        at = np.flatnonzero(first >= 0)
+        self.last[at + self.span[first[at]] - 1] = first[at]
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and weights of the pairs that begin at places of symbols."""
+        left = self.first[at].astype(np.int64)
+        right = self.first[at + self.span[left]].astype(np.int64)
+        ok = right >= 0
+        return left[ok] * _PAIR + right[ok], self.weights[at[ok]]
+
+    def all_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.pairs(np.flatnonzero(self.first >= 0))
+
+    def _before(self, at: np.ndarray) -> np.ndarray:
+        left = self.last[at - 1]
+        ok = left >= 0
+        return at[ok] - self.span[left[ok]]
+
+    def join(self, a: int, b: int, joined: int, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Merges a pair; keys and weights that this takes from pairs (negative) and adds to them."""
+        if joined == len(self.span):
+            self.span = np.append(self.span, self.span[a] + self.span[b])
+        none, step = (np.zeros(0, np.int64), np.zeros(0, np.int64)), int(self.span[a])
+        at = np.flatnonzero(self.first == a)
+        at = at[self.first[at + step] == b]
+        if a == b and len(at):  # of a run every second one
+            begin = np.maximum.accumulate(np.where(np.diff(at, prepend=at[:1]) != step, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+        if not len(at):
+            return none
+        taken = self.pairs(np.unique(np.concatenate([self._before(at), at, at + step]))) if counted else none
+        self.first[at + step], self.first[at] = -2, joined
+        self.last[at + step + self.span[b] - 1] = joined
+        added = self.pairs(np.unique(np.concatenate([self._before(at), at]))) if counted else none
+        return np.concatenate([taken[0], added[0]]), np.concatenate([-taken[1], added[1]])
+
+
+def _numbered(words: list[str], number: dict[str, int], split: Callable[[str], list[str]], kind: type) -> np.ndarray:
+    """Symbol numbers of types, each with a separator after it."""
+    return np.fromiter((x for w in words for x in (*(number[c] for c in split(w)), -1)), kind)
+
+
+def _blocks_of(number: dict[str, int], split: Callable[[str], list[str]], kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, weights, held = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            raw = np.concatenate([np.array([-1], kind), *first]).tobytes(), np.concatenate(weights).astype(np.int64).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["first", "weights"])
+
+        for b in batches:
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
+                first.append(_numbered(part.column(0).to_pylist(), number, split, kind))
+                weights.append(part.column(1).to_numpy())
+                held += len(first[-1])
+                if held >= BLOCK_SYMBOLS:
+                    yield block()
+                    first, weights, held = [], [], 0
+        if held:
+            yield block()
+
+    return run
+
+
+def _opened(batches: Iterator[pa.RecordBatch], span: list[int], kind: type, made: list[tuple[int, int, int]]) -> Iterator[Symbols]:
+    """Blocks after merges that were made since they were written."""
+    for batch in batches:
+        for raw, weights in zip(batch.column(0), batch.column(1), strict=True):
+            block = Symbols(np.frombuffer(raw.as_buffer(), kind), np.frombuffer(weights.as_buffer(), np.int64), span)
+            for m in made:
+                block.join(*m, counted=False)
+            yield block
+
+
+def _rewritten(blocks: DataFrame, span: list[int], kind: type, made: list[tuple[int, int, int]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _opened(batches, span, kind, made):
+            yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()) for y in (x.first, x.types)], ["first", "weights"])
+
+    return blocks.mapInArrow(run, "first binary, weights binary").persist(StorageLevel.DISK_ONLY)
+
+
+def _changes(blocks: DataFrame, span: list[int], kind: type, made: list[tuple[int, int, int]], ahead: list[tuple[int, int, int]]) -> list[dict[int, int]]:
+    """What each merge ahead changes of the counts of pairs; without any, the counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _opened(batches, span, kind, made):
+            for step, (keys, weights) in enumerate([x.join(*m) for m in ahead] if ahead else [x.all_pairs()]):
+                told = [(k, v) for k, v in _weighed(keys, weights) if v]
+                yield pa.RecordBatch.from_arrays([pa.array([step] * len(told), pa.int32()), pa.array([k for k, _ in told], pa.int64()), pa.array([v for _, v in told], pa.int64())], ["step", "key", "n"])
+
+    out: list[dict[int, int]] = [{} for _ in ahead or [0]]
+    for r in blocks.mapInArrow(run, "step int, key long, n long").groupBy("step", "key").agg(F.sum("n").alias("n")).collect():  # pairs of the alphabet and the merges
+        out[r.step][r.key] = r.n
+    return out
+
+
+def _foretold(counts: dict[int, int], names: list[str], number: dict[str, int], sample: Symbols, most: int) -> list[tuple[int, int, int]]:
+    """The next merges, as the frequent types let expect what each of them changes; the first one is certain."""
+    names, number, counts = list(names), dict(number), dict(counts)
+    heap = [(-n, (names[k // _PAIR], names[k % _PAIR]), k) for k, n in counts.items()]
+    heapq.heapify(heap)
+    sample = Symbols(sample.first, sample.types, sample.span.tolist())
+    ahead: list[tuple[int, int, int]] = []
+    while heap and len(ahead) < most:
+        n, pair, key = heapq.heappop(heap)
+        if counts.get(key) != -n:
+            continue
+        joined = "".join(pair)
+        if joined not in number:
+            number[joined] = len(names)
+            names.append(joined)
+        ahead.append((*divmod(key, _PAIR), number[joined]))
+        change = dict(_weighed(*sample.join(*ahead[-1])))
+        scale = -n / max(1, -change.get(key, 0))
+        counts.pop(key)
+        for k, v in change.items():
+            if k != key and v:
+                counts[k] = round(counts.get(k, 0) + v * scale)
+                heapq.heappush(heap, (-counts[k], (names[k // _PAIR], names[k % _PAIR]), k))
+    return ahead
+
+
+def learn(types: DataFrame, size: int, split: Callable[[str], list[str]] = list, alphabet: list[str] | None = None) -> tuple[list[str], list[tuple[str, str]]]:
+    """As learn_merges, of types (token, cnt) that stay where they lie.
+
+    A round foretells merges by the most frequent types, has all blocks of types make them and tell what each
+    changes, and takes them over as long as by the exact counts each is the next one. The driver
+    holds the counts of pairs, that is of the alphabet and the merges, and TYPES_ON_DRIVER types.
+    """
+    types = types.select("token", "cnt").persist(StorageLevel.DISK_ONLY)
+    blocks = None
+    try:
+        top = types.orderBy(F.desc("cnt"), "token").limit(TYPES_ON_DRIVER + 1).collect()
+        if len(top) <= TYPES_ON_DRIVER:
+            return learn_merges({r.token: r.cnt for r in top}, size, split, alphabet)
+        base = sorted(r.c for r in _alphabet(types, split).collect()) if alphabet is None else list(alphabet)
+        names, number = list(base), {c: i for i, c in enumerate(base)}
+        span, kind = [1] * len(base), np.int16 if len(base) + size < 1 << 15 else np.int32
+        blocks = types.mapInArrow(_blocks_of(number, split, kind), "first binary, weights binary").persist(StorageLevel.DISK_ONLY)
+        first = np.concatenate([np.array([-1], kind), _numbered([r.token for r in top], number, split, kind)])
+        sample = Symbols(first, np.array([r.cnt for r in top], np.int64), span)
+        counts = _changes(blocks, span, kind, [], [])[0]
+        types.unpersist()
+        told = lambda k: (names[k // _PAIR], names[k % _PAIR])
+        heap = [(-n, told(k), k) for k, n in counts.items()]
+        heapq.heapify(heap)
+        merges: list[tuple[str, str]] = []
+        made, written, most = [], list(span), AHEAD
+        while len(base) + len(merges) < size and counts:
+            ahead = _foretold(counts, names, number, sample, min(most, size - len(base) - len(merges)))
+            taken = 0
+            for (a, b, joined), change in zip(ahead, _changes(blocks, written, kind, made, ahead), strict=True):
+                while counts.get(heap[0][2]) != -heap[0][0]:
+                    heapq.heappop(heap)
+                key = a * _PAIR + b
+                if heap[0][2] != key:
+                    break
+                merges.append(told(key))
+                if joined == len(names):
+                    number["".join(merges[-1])] = len(names)
+                    names.append("".join(merges[-1]))
+                    span.append(span[a] + span[b])
+                sample.join(a, b, joined, counted=False)
+                made.append((a, b, joined))
+                counts.pop(key)
+                for k, v in change.items():
+                    if k != key:
+                        counts[k] = counts.get(k, 0) + v
+                        if counts[k] > 0:
+                            heapq.heappush(heap, (-counts[k], told(k), k))
+                        else:
+                            del counts[k]
+                taken += 1
+                if not counts:
+                    break
+            most = min(AHEAD, max(8, 2 * taken))
+            if len(made) >= REWRITE:
+                before, blocks = blocks, _rewritten(blocks, written, kind, made)
+                made, written = [], list(span)
+                blocks.count()
+                before.unpersist()
+        return base, merges
+    finally:
+        types.unpersist()
+        if blocks is not None:
+            blocks.unpersist()
+
+
+def _alphabet(types: DataFrame, split: Callable[[str], list[str]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array({c for w in b.column(0).to_pylist() for c in split(w)}, pa.string())], ["c"])
+
+    return types.mapInArrow(run, "c string").distinct()
+
+
 class Trie:
     """Longest and all prefixes of a vocabulary. A search ends where no piece begins so, whatever the longest one is."""
 

@@ -71,6 +71,25 @@ def test_every_type_is_learned_from(spark):
         assert 0 not in c.coder()("zzΩ")
 
 
+@pytest.mark.parametrize(("kind", "size"), [("bpe", 100)])
+def test_merges_of_types_that_are_not_gathered(spark, monkeypatch, kind, size):
+    """The same codec as learned from all types on the driver, which must not see them."""
+    rows = [*enumerate(TEXTS), (50, "aaaa aaa aa a aaaaa éé ééé"), *((100 + i, f"w{i * 7919 % 1000} {'ab' * (i % 9)} {'##' * (i % 4)}x lower{i % 13}est") for i in range(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, all_types = subword.learn_merges, codec.train(kind, docs, size)
+    monkeypatch.setattr(subword, "TYPES_ON_DRIVER", 60, raising=False)
+    monkeypatch.setattr(subword, "REWRITE", 10, raising=False)
+    monkeypatch.setattr(subword, "AHEAD", 12, raising=False)
+
+    def few(types, *args, **more):
+        assert len(types) <= 60, "all types are on the driver"
+        return plain(types, *args, **more)
+
+    monkeypatch.setattr(subword, "learn_merges", few)
+    assert codec.train(kind, docs, size) == all_types
+    assert len(all_types.pieces) == size
+
+
 def test_lexicon(spark):
     docs = spark.createDataFrame([(i, "Unhappy unhappy dogs") for i in range(5)], "doc_id long, text string")
     lexicon = spark.createDataFrame([("unhappy", ["un", "happy"]), ("dogs", [])], "word string, morphemes array<string>")
