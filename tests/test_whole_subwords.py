@@ -71,7 +71,7 @@ def test_every_type_is_learned_from(spark):
         assert 0 not in c.coder()("zzΩ")
 
 
-@pytest.mark.parametrize(("kind", "size"), [("bpe", 100), ("byte_bpe", 290)])
+@pytest.mark.parametrize(("kind", "size"), [("bpe", 100), ("byte_bpe", 290), ("wordpiece", 130)])
 def test_merges_of_types_that_are_not_gathered(spark, monkeypatch, kind, size):
     """The same codec as learned from all types on the driver, which must not see them."""
     rows = [*enumerate(TEXTS), (50, "aaaa aaa aa a aaaaa éé ééé"), *((100 + i, f"w{i * 7919 % 1000} {'ab' * (i % 9)} {'##' * (i % 4)}x lower{i % 13}est") for i in range(400))]
