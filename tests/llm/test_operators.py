@@ -290,6 +290,28 @@ def test_topk_searches_documents(spark, tmp_path):
     assert {(r.doc_id, r["rank"], r.hit_doc_id) for r in got} == {(20, 1, 20), (20, 2, 21), (40, 1, 40), (40, 2, 22)}
 
 
+def test_topk_shuffles_nothing_per_shard(spark, monkeypatch):
+    """25 shards instead of one: no query and no hit travels for each of them. Blocks of queries change nothing."""
+    texts = [(i, " ".join(R.choice("abcdefghijklmnop") * R.randrange(1, 3) for _ in range(R.randrange(1, 30)))) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).cache()
+
+    def run(**limits):
+        for k, v in limits.items():
+            monkeypatch.setattr(topk_search, k, v, raising=False)
+        sc = spark.sparkContext
+        sc.setJobGroup(name := f"topk-{limits}", "")
+        got = rows(topk_search.report_documents(df))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+        return got, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+    one, few = run(SHARD_ROWS=400), run(SHARD_ROWS=16)
+    assert one[0] == few[0] and one[1] == few[1] > 0
+    assert run(QUERY_TERMS=50)[0] == run(SHARD_TERMS=100)[0] == one[0]
+
+
 @pytest.mark.parametrize("block", [200_000, 7])
 def test_contamination(docs, empty, benchmark, block, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_ROWS", block)
