@@ -14,7 +14,9 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,15 +91,20 @@ class Codec:
 
     def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """key, ids. A missing text has no ids."""
+        if self.kind in _BY_CHUNK:
+            return subword.encode_chunks(docs, lambda: _BY_CHUNK[self.kind](self), key, text)
         return subword.encode(docs, self.coder, key, text)
 
     def decoded(self, rows: DataFrame, key: str = "doc_id", ids: str = "ids", skip_special: bool = True) -> DataFrame:
         """key, text."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = [self.decode(x.as_py() or [], skip_special) for x in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [key, "text"])
+            spelled = _SPELLED[self.kind](self.pieces, skip_special) if self.kind in _SPELLED else None
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1000):
+                    b = batch.slice(a, 1000)
+                    texts = spelled(b.column(1)) if spelled else pa.array([self.decode(x.as_py() or [], skip_special) for x in b.column(1)], pa.string())
+                    yield pa.RecordBatch.from_arrays([b.column(0), texts], [key, "text"])
 
         return rows.select(key, ids).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, text string")
 
@@ -124,16 +131,29 @@ class Codec:
 # ---------------------------------------------------------------- encoding and decoding rules
 
 
-def _by_merges(c: Codec, chunks: Callable[[str], list[str]], split: Callable[[str], list[str]]) -> Callable[[str], list[int]]:
+Chunked = tuple[Callable[[str], list[str]], Callable[[str], list[int]]]
+
+
+def _coder(by_chunk: Callable[[Codec], Chunked]) -> Callable[[Codec], Callable[[str], list[int]]]:
+    """The encoding function of one text, of the chunks of a text and the ids of a chunk."""
+
+    def make(c: Codec) -> Callable[[str], list[int]]:
+        chunks, code = by_chunk(c)
+        one = subword._cached(code)
+        return lambda x: [i for w in chunks(x) for i in one(w)]
+
+    return make
+
+
+def _by_merges(c: Codec, chunks: Callable[[str], list[str]], split: Callable[[str], list[str]]) -> Chunked:
     of, rank = c.ids(), {}
     for i, m in enumerate(c.merges):
         rank.setdefault(m, i)
-    one = subword._cached(lambda w: [of.get(p, UNK) for p in merged(split(w), rank)])
-    return lambda x: [i for w in chunks(x) for i in one(w)]
+    return chunks, lambda w: [of.get(p, UNK) for p in merged(split(w), rank)]
 
 
 def _blank_chunks(x: str) -> list[str]:
-    return regex.findall(BLANK_CHUNK, " " + x) if x else []
+    return [" " + p for p in x.split(" ")] if x else []
 
 
 def _line_chunks(x: str) -> list[str]:
@@ -145,11 +165,11 @@ def _line_chunks(x: str) -> list[str]:
         if i:
             out.append("\n")
         if line:
-            out += regex.findall(BLANK_CHUNK, " " + line)
+            out += [" " + p for p in line.split(" ")]
     return out
 
 
-def _wordpiece(c: Codec) -> Callable[[str], list[int]]:
+def _wordpiece(c: Codec) -> Chunked:
     of = c.ids()
     longest = max(map(len, of), default=1)
 
@@ -163,8 +183,7 @@ def _wordpiece(c: Codec) -> Callable[[str], list[int]]:
             out.append(of[found[1]])
         return out
 
-    one = subword._cached(match)
-    return lambda x: [i for w in _line_chunks(x) for i in one(w)]
+    return _line_chunks, match
 
 
 def _unjoined(pieces: list[str]) -> str:
@@ -173,7 +192,7 @@ def _unjoined(pieces: list[str]) -> str:
     return "\n".join(x[1:] if x.startswith(" ") else x for x in lines)
 
 
-def _unigram(c: Codec) -> Callable[[str], list[int]]:
+def _unigram(c: Codec) -> Chunked:
     of = c.ids()
     score = {p: s for p, s in zip(c.pieces[len(SPECIALS) + 256 :], c.scores[len(SPECIALS) + 256 :], strict=True)}
     trie = subword.Trie(score)
@@ -184,8 +203,7 @@ def _unigram(c: Codec) -> Callable[[str], list[int]]:
             out += [of[p]] if p in score else [len(SPECIALS) + b for b in p.encode()]
         return out
 
-    one = subword._cached(code)
-    return lambda x: [i for w in _blank_chunks(x) for i in one(w)]
+    return _blank_chunks, code
 
 
 _BYTE_VALUES = {_byte_name(b): b for b in range(256)}
@@ -217,13 +235,61 @@ def _longest(c: Codec) -> Callable[[str], list[int]]:
     return lambda x: [of[p] if p else UNK for p in subword.longest_match(x.lower(), trie)]
 
 
+def _speller(of: Callable[[str], bytes], ended: Callable[[pa.Array], pa.Array] = lambda x: x):
+    """Texts of lists of ids, from the bytes of each piece; ended: what decoding does at last."""
+
+    def make(pieces: tuple[str, ...], skip_special: bool) -> Callable[[pa.Array], pa.Array]:
+        table = pa.array([*(b"" if skip_special and i < len(SPECIALS) else of(p) for i, p in enumerate(pieces)), b""], pa.large_binary())
+
+        def run(ids: pa.Array) -> pa.Array:
+            rows = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()))
+            flat = pc.fill_null(ids.flatten(), -1).to_numpy()
+            parts = table.take(pa.array(np.where((flat >= 0) & (flat < len(pieces)), flat, len(pieces))))
+            offsets = np.frombuffer(parts.buffers()[1], np.int64)[rows] if len(flat) else np.zeros(len(rows), np.int64)
+            raw = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), parts.buffers()[2] or pa.py_buffer(b"")])
+            try:
+                texts = raw.cast(pa.string())
+            except pa.ArrowInvalid:  # bytes that are no UTF-8
+                texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+            return ended(texts)
+
+        return run
+
+    return make
+
+
+def _without_first(texts: pa.Array) -> pa.Array:
+    return pc.utf8_slice_codeunits(texts, 1)
+
+
+def _without_line_blanks(texts: pa.Array) -> pa.Array:
+    texts = pc.replace_substring(texts, "\n ", "\n")
+    return pc.if_else(pc.starts_with(texts, " "), _without_first(texts), texts)
+
+
+_SPELLED = {
+    "char_level": _speller(str.encode),
+    "bpe": _speller(str.encode, _without_first),
+    "byte_bpe": _speller(lambda p: p.encode("latin-1")),
+    "wordpiece": _speller(lambda p: (p[2:] if p.startswith("##") and len(p) > 2 else p).encode(), _without_line_blanks),
+    "unigram": _speller(lambda p: bytes([_BYTE_VALUES[p]]) if p in _BYTE_VALUES else p.encode(), _without_first),
+    "morpheme": _speller(str.encode),
+}
+
+_BY_CHUNK: dict[str, Callable[[Codec], Chunked]] = {
+    "bpe": lambda c: _by_merges(c, _blank_chunks, list),
+    "byte_bpe": lambda c: _by_merges(c, regex.compile(BYTE_CHUNK).findall, _bytes),
+    "wordpiece": _wordpiece,
+    "unigram": _unigram,
+}
+
 _RULES: dict[str, tuple[Callable[[Codec], Callable[[str], list[int]]], Callable[[list[str]], str]]] = {
     "char_level": (_chars, "".join),
     "word_level": (_words, _unworded),
-    "bpe": (lambda c: _by_merges(c, _blank_chunks, list), lambda p: "".join(p)[1:]),
-    "byte_bpe": (lambda c: _by_merges(c, regex.compile(BYTE_CHUNK).findall, _bytes), lambda p: "".join(p).encode("latin-1").decode("utf-8", "replace")),
-    "wordpiece": (_wordpiece, _unjoined),
-    "unigram": (_unigram, _unbyted),
+    "bpe": (_coder(_BY_CHUNK["bpe"]), lambda p: "".join(p)[1:]),
+    "byte_bpe": (_coder(_BY_CHUNK["byte_bpe"]), lambda p: "".join(p).encode("latin-1").decode("utf-8", "replace")),
+    "wordpiece": (_coder(_BY_CHUNK["wordpiece"]), _unjoined),
+    "unigram": (_coder(_BY_CHUNK["unigram"]), _unbyted),
     "morpheme": (_longest, "".join),
 }
 

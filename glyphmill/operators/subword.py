@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -103,15 +104,18 @@ def learn_merges(types: dict[str, int], size: int, split: Callable[[str], list[s
     return base, merges
 
 
-#: The driver holds at most so many types. A block of types has about so many symbols. Merges foretold in a round, and made before blocks are written anew.
-TYPES_ON_DRIVER, BLOCK_SYMBOLS, AHEAD, REWRITE = 20_000, 1 << 20, 64, 64
+#: The driver holds at most so many types, of so many characters. A block of types has about so many symbols. Merges foretold in a round, and made before blocks are written anew.
+TYPES_ON_DRIVER, CHARS_ON_DRIVER, BLOCK_SYMBOLS, AHEAD, REWRITE = 20_000, 1 << 22, 1 << 20, 64, 64
+#: Longer types are not foretold from. Tasks of a round for each core.
+LONGEST_FORETOLD, TASKS = 200, 4
 
 
 class Symbols:
     """Types end to end, a separator (-1) before, between and after them.
 
     A symbol's number stands at the places of its first and of its last base symbol (span: how
-    many it has), so a merge moves nothing: neighbours are found by spans.
+    many it has), so a merge moves nothing: neighbours are found by spans. Places are kept by
+    symbol, so a merge looks at those of its rarer symbol only.
     """
 
     def __init__(self, first: np.ndarray, weights: np.ndarray, span: list[int]):
@@ -121,6 +125,9 @@ class Symbols:
         self.weights = np.append(weights, 0)[np.cumsum(first == -1) - 1]
         at = np.flatnonzero(first >= 0)
         self.last[at + self.span[first[at]] - 1] = first[at]
+        self._by_symbol = at[np.argsort(first[at], kind="stable")]
+        self._bounds = np.searchsorted(first[self._by_symbol], np.arange(len(span) + 1))
+        self._joined: dict[int, list[np.ndarray]] = {}
 
     def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and weights of the pairs that begin at places of symbols."""
@@ -137,13 +144,25 @@ class Symbols:
         ok = left >= 0
         return at[ok] - self.span[left[ok]]
 
+    def _places(self, a: int) -> np.ndarray:
+        """Where a symbol stands, or stood before it was joined; in order."""
+        parts = self._joined.get(a, [])
+        if a + 1 < len(self._bounds):
+            parts = [self._by_symbol[self._bounds[a] : self._bounds[a + 1]], *parts]
+        return parts[0] if len(parts) == 1 else np.sort(np.concatenate([np.zeros(0, np.int64), *parts]))
+
     def join(self, a: int, b: int, joined: int, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Merges a pair; keys and weights that this takes from pairs (negative) and adds to them."""
         if joined == len(self.span):
             self.span = np.append(self.span, self.span[a] + self.span[b])
         none, step = (np.zeros(0, np.int64), np.zeros(0, np.int64)), int(self.span[a])
-        at = np.flatnonzero(self.first == a)
-        at = at[self.first[at + step] == b]
+        at, right = self._places(a), self._places(b)
+        if len(at) <= len(right):
+            at = at[self.first[at] == a]
+            at = at[self.first[at + step] == b]
+        else:
+            right = right[self.first[right] == b]
+            at = right[self.last[right - 1] == a] - step
         if a == b and len(at):  # of a run every second one
             begin = np.maximum.accumulate(np.where(np.diff(at, prepend=at[:1]) != step, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - begin) % 2 == 0]
@@ -151,6 +170,7 @@ class Symbols:
             return none
         taken = self.pairs(np.unique(np.concatenate([self._before(at), at, at + step]))) if counted else none
         self.first[at + step], self.first[at] = -2, joined
+        self._joined.setdefault(joined, []).append(at)
         self.last[at + step + self.span[b] - 1] = joined
         added = self.pairs(np.unique(np.concatenate([self._before(at), at]))) if counted else none
         return np.concatenate([taken[0], added[0]]), np.concatenate([-taken[1], added[1]])
@@ -202,18 +222,32 @@ def _rewritten(blocks: DataFrame, span: list[int], kind: type, made: list[tuple[
     return blocks.mapInArrow(run, "first binary, weights binary").persist(StorageLevel.DISK_ONLY)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct steps and keys with the sums of their weights, without those of sum 0."""
+    step, key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((key, step))
+    step, key, n = step[order], key[order], n[order]
+    new = np.flatnonzero(np.append(True, (step[1:] != step[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n, new) if len(new) else n
+    return step[new][n != 0], key[new][n != 0], n[n != 0]
+
+
 def _changes(blocks: DataFrame, span: list[int], kind: type, made: list[tuple[int, int, int]], ahead: list[tuple[int, int, int]]) -> list[dict[int, int]]:
     """What each merge ahead changes of the counts of pairs; without any, the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for x in _opened(batches, span, kind, made):
-            for step, (keys, weights) in enumerate([x.join(*m) for m in ahead] if ahead else [x.all_pairs()]):
-                told = [(k, v) for k, v in _weighed(keys, weights) if v]
-                yield pa.RecordBatch.from_arrays([pa.array([step] * len(told), pa.int32()), pa.array([k for k, _ in told], pa.int64()), pa.array([v for _, v in told], pa.int64())], ["step", "key", "n"])
+            found = [x.join(*m) for m in ahead] if ahead else [x.all_pairs()]
+            own = [_summed([(np.full(len(k), step, np.int32), k, v)]) for step, (k, v) in enumerate(found)]
+            told = [_summed([*told, *own])]  # pairs of the alphabet and the merges
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in told[0]], ["step", "key", "n"])
 
     out: list[dict[int, int]] = [{} for _ in ahead or [0]]
-    for r in blocks.mapInArrow(run, "step int, key long, n long").groupBy("step", "key").agg(F.sum("n").alias("n")).collect():  # pairs of the alphabet and the merges
-        out[r.step][r.key] = r.n
+    rows = blocks.mapInArrow(run, "step int, key long, n long").groupBy("step", "key").agg(F.sum("n").alias("n")).toArrow()
+    for step, key, n in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        out[step][key] = n
     return out
 
 
@@ -246,22 +280,23 @@ def _foretold(counts: dict[int, int], names: list[str], number: dict[str, int],
 def learn(types: DataFrame, size: int, split: Callable[[str], list[str]] = list, alphabet: list[str] | None = None) -> tuple[list[str], list[tuple[str, str]]]:
     """As learn_merges, of types (token, cnt) that stay where they lie.
 
-    A round foretells merges by the most frequent types, has all blocks of types make them and tell what each
+    A round foretells merges by frequent types and some of the others, has all blocks of types make them and tell what each
     changes, and takes them over as long as by the exact counts each is the next one. The driver
-    holds the counts of pairs, that is of the alphabet and the merges, and TYPES_ON_DRIVER types.
+    holds the counts of pairs, that is of the alphabet and the merges, and about TYPES_ON_DRIVER types.
     """
     types = types.select("token", "cnt").persist(StorageLevel.DISK_ONLY)
     blocks = None
     try:
-        top = types.orderBy(F.desc("cnt"), "token").limit(TYPES_ON_DRIVER + 1).collect()
-        if len(top) <= TYPES_ON_DRIVER:
-            return learn_merges({r.token: r.cnt for r in top}, size, split, alphabet)
+        n, chars = types.agg(F.count("*"), F.sum(F.char_length("token"))).first()
+        if n <= TYPES_ON_DRIVER and (chars or 0) <= CHARS_ON_DRIVER:
+            return learn_merges({r.token: r.cnt for r in types.collect()}, size, split, alphabet)
+        words, weights = _foretold_from(types)
         base = sorted(r.c for r in _alphabet(types, split).collect()) if alphabet is None else list(alphabet)
         names, number = list(base), {c: i for i, c in enumerate(base)}
         span, kind = [1] * len(base), np.int16 if len(base) + size < 1 << 15 else np.int32
-        blocks = types.mapInArrow(_blocks_of(number, split, kind), "first binary, weights binary").persist(StorageLevel.DISK_ONLY)
-        first = np.concatenate([np.array([-1], kind), _numbered([r.token for r in top], number, split, kind)])
-        sample = Symbols(first, np.array([r.cnt for r in top], np.int64), span)
+        blocks = types.coalesce(TASKS * types.sparkSession.sparkContext.defaultParallelism).mapInArrow(_blocks_of(number, split, kind), "first binary, weights binary").persist(StorageLevel.DISK_ONLY)
+        first = np.concatenate([np.array([-1], kind), _numbered(words, number, split, kind)])
+        sample = Symbols(first, weights, span)
         counts = _changes(blocks, span, kind, [], [])[0]
         types.unpersist()
         told = lambda k: (names[k // _PAIR], names[k % _PAIR])
@@ -309,6 +344,23 @@ def learn(types: DataFrame, size: int, split: Callable[[str], list[str]] = list,
             blocks.unpersist()
 
 
+def _foretold_from(types: DataFrame) -> tuple[list[str], np.ndarray]:
+    """About TYPES_ON_DRIVER types and their weights: the most frequent, and some of the others, which stand for all of these."""
+    short = types.filter(F.char_length("token") <= LONGEST_FORETOLD)
+    step = F.floor(8 * F.log2("cnt")).cast("int")
+    room = TYPES_ON_DRIVER // 2
+    least, left, rest = 1 << 30, room, 0
+    for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # at most 512 steps
+        if rest or r.n > left:
+            rest += r.n
+        else:
+            least, left = r.step, left - r.n
+    every = max(1, -(-rest // room))
+    chosen = short.filter((step >= least) | (F.pmod(F.xxhash64("token"), F.lit(every)) == 0))
+    found = chosen.select("token", F.when(step >= least, F.col("cnt")).otherwise(F.col("cnt") * every).alias("cnt")).toArrow()
+    return found.column("token").to_pylist(), found.column("cnt").to_numpy().astype(np.int64)
+
+
 def _alphabet(types: DataFrame, split: Callable[[str], list[str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -377,6 +429,45 @@ def encode(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], k
     return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>")
 
 
+class _Numbers(dict):
+    """Chunks numbered as they come, with the ids of each: one after the other in pool, up to the ends."""
+
+    def __init__(self, code: Callable[[str], list[int]]):
+        self.code, self.pool, self.ends = code, array("i"), array("q", [0])
+
+    def __missing__(self, chunk: str) -> int:
+        self.pool.extend(self.code(chunk))
+        self.ends.append(len(self.pool))
+        self[chunk] = n = len(self.ends) - 2
+        return n
+
+
+def encode_chunks(docs: DataFrame, coder: Callable[[], tuple[Callable[[str], list[str]], Callable[[str], list[int]]]], key: str = "doc_id", text: str = "text", most: int = 200_000) -> DataFrame:
+    """As encode, for ids that go by chunk: the factory gives the chunks of a text and the ids of a chunk.
+
+    A task encodes a chunk once (and again after most others); texts are put together from arrays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, code = coder()
+        known = _Numbers(code)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                b = batch.slice(a, 1000)
+                if len(known) > most:
+                    known = _Numbers(code)
+                rows = [np.fromiter(map(known.__getitem__, chunks(x)), np.int32) if x else np.zeros(0, np.int32) for x in b.column(1).to_pylist()]
+                pool, ends = np.array(known.pool, np.int32), np.array(known.ends, np.int64)
+                number = np.concatenate(rows)
+                begin, size = ends[number], ends[number + 1] - ends[number]
+                upto = np.append(0, np.cumsum(size))
+                ids = pool[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+                offsets = upto[np.append(0, np.cumsum([len(r) for r in rows]))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [key, "ids"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>")
+
+
 def _cached(code: Callable[[str], list[int]], most: int = 100_000) -> Callable[[str], list[int]]:
     kept: dict[str, list[int]] = {}
 

@@ -90,6 +90,42 @@ def test_merges_of_types_that_are_not_gathered(spark, monkeypatch, kind, size):
     assert len(all_types.pieces) == size
 
 
+def test_few_types_of_many_characters_are_not_gathered(spark, monkeypatch):
+    rows = [(i, "ab" * (3000 + i) + " ba" + "c" * (i % 3)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    all_types = codec.train("byte_bpe", docs, 275)
+    monkeypatch.setattr(subword, "CHARS_ON_DRIVER", 10_000, raising=False)
+
+    def none(*_, **__):
+        raise AssertionError("all types are on the driver")
+
+    monkeypatch.setattr(subword, "learn_merges", none)
+    assert codec.train("byte_bpe", docs, 275) == all_types
+
+
+def test_what_is_foretold_from_is_bounded(spark, monkeypatch):
+    """Frequent types by themselves, and some of the rare ones for all of them; no task sends its own 20,000 types."""
+    monkeypatch.setattr(subword, "TYPES_ON_DRIVER", 400)
+    types = spark.createDataFrame([(f"w{i}", 500 if i < 10 else 1 + i % 3) for i in range(5000)] + [("x" * 5000, 900)], "token string, cnt long")
+    words, weights = subword._foretold_from(types)
+    assert {f"w{i}" for i in range(10)} <= set(words) and 100 < len(words) <= 400 and max(map(len, words)) < 10
+    assert 0.7 < weights.sum() / (10 * 500 + 4990 * 2) < 1.3
+
+
+@pytest.mark.parametrize("kind", ["bpe", "byte_bpe", "wordpiece", "unigram"])
+def test_arrays_of_chunks_against_single_texts(spark, docs, kind):
+    c = codec.train(kind, docs, 500)
+    code = c.coder()
+    assert {r.doc_id: r.ids for r in c.encode(docs).collect()} == {i: code(x) for i, x in enumerate(TEXTS)} | {99: []}
+    few = subword.encode_chunks(docs, lambda: codec._BY_CHUNK[kind](c), most=1)  # forgets between batches
+    assert {r.doc_id: r.ids for r in few.collect()} == {i: code(x) for i, x in enumerate(TEXTS)} | {99: []}
+    n = len(c.pieces)
+    lists = [[], None, [0, 1, n + 5, -3], list(range(n)), list(range(n - 1, 4, -1)), [n - 1, 200, 201]]  # byte pieces alone are no UTF-8
+    rows = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>")
+    for skip in (True, False):
+        assert {r.doc_id: r.text for r in c.decoded(rows, skip_special=skip).collect()} == {i: c.decode(x or [], skip) for i, x in enumerate(lists)}
+
+
 def test_lexicon(spark):
     docs = spark.createDataFrame([(i, "Unhappy unhappy dogs") for i in range(5)], "doc_id long, text string")
     lexicon = spark.createDataFrame([("unhappy", ["un", "happy"]), ("dogs", [])], "word string, morphemes array<string>")
