@@ -44,8 +44,28 @@ def _byte_name(b: int) -> str:
     return f"<0x{b:02X}>"
 
 
+#: Up to so many symbols, looking through all pairs for each merge is faster than a heap.
+SHORT = 24
+
+
+def _merged_short(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
+    s, never = list(symbols), len(rank)
+    ranks = [rank.get(p, never) for p in zip(s, s[1:], strict=False)]
+    while ranks and (least := min(ranks)) < never:
+        i = ranks.index(least)
+        s[i : i + 2] = [s[i] + s[i + 1]]
+        del ranks[i]
+        if i:
+            ranks[i - 1] = rank.get((s[i - 1], s[i]), never)
+        if i < len(ranks):
+            ranks[i] = rank.get((s[i], s[i + 1]), never)
+    return s
+
+
 def merged(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
     """The lowest-ranked pair first, the leftmost of equals, until none is left; n log n in the symbols."""
+    if len(symbols) <= SHORT:
+        return _merged_short(symbols, rank)
     s: list[str | None] = list(symbols)
     n = len(s)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -171,16 +191,21 @@ def _line_chunks(x: str) -> list[str]:
 
 def _wordpiece(c: Codec) -> Chunked:
     of = c.ids()
-    longest = max(map(len, of), default=1)
+    # Per first character the lengths of the pieces that begin so, the longest first; apart for the beginning of a word and its rest.
+    begins, rest = of, {p[2:]: i for p, i in of.items() if p.startswith("##") and len(p) > 2}
+    lengths = [{k: sorted({len(p) for p in pieces if p[:1] == k}, reverse=True) for k in {p[0] for p in pieces if p}} for pieces in (begins, rest)]
 
     def match(w: str) -> list[int]:
-        out, at = [], 0
-        while at < len(w):
-            found = next(((e, p) for e in range(min(len(w), at + longest), at, -1) if (p := ("##" if at else "") + w[at:e]) in of), None)
-            if found is None:
+        out, at, n, pieces, by_first = [], 0, len(w), begins, lengths[0]
+        while at < n:
+            for k in by_first.get(w[at], ()):
+                if (i := pieces.get(w[at : at + k])) is not None and at + k <= n:
+                    break
+            else:
                 return [UNK]
-            at = found[0]
-            out.append(of[found[1]])
+            out.append(i)
+            at += k
+            pieces, by_first = rest, lengths[1]
         return out
 
     return _line_chunks, match

@@ -1,5 +1,8 @@
 """Subword tokenizers learn from every type, give texts back and can be kept."""
 
+import time
+from itertools import product
+
 import pytest
 
 from glyphmill.operators import codec, subword
@@ -147,3 +150,24 @@ def test_segments_keep_to_boundaries():
     assert subword.segment_spans("abcd", [True, True], trie) == [(0, 1), (1, 4)]
     assert subword.segment_spans("", [True], trie) == []
     assert trie.prefixes("abcd", 0) == ["ab", "abc"] and trie.longest("xa", 0) is None
+
+
+def test_word_pieces_of_few_lengths_are_tried():
+    """Lengths that no piece of that beginning has are not tried: a long piece made each place of each chunk try them all."""
+    long = "##" + "z" * 20_000
+    c = codec.Codec("wordpiece", (*codec.SPECIALS, " a", "##a", "##aa", "##b#", long))
+    ids = c.ids()
+    began = time.monotonic()
+    assert c.coder()("a" * 20_000) == [ids[" a"], *[ids["##aa"]] * 9_999, ids["##a"]]
+    assert time.monotonic() - began < 2
+    assert c.tokens("aaab# a##a " + "a" + "z" * 20_000) == [" a", "##aa", "##b#", codec.SPECIALS[codec.UNK], " a", long]
+
+
+def test_short_chunks_merge_as_long_ones(monkeypatch):
+    alphabet = ["a", "b", "c"]
+    pairs = [("a", "b"), ("b", "c"), ("a", "bc"), ("ab", "c"), ("a", "a"), ("abc", "a"), ("aa", "aa"), ("c", "ab")]
+    rank = {p: i for i, p in enumerate(pairs)}
+    words = ["".join(w) for n in range(8) for w in product(alphabet, repeat=n)]
+    short = [codec.merged(list(w), rank) for w in words]
+    monkeypatch.setattr(codec, "SHORT", -1)
+    assert short == [codec.merged(list(w), rank) for w in words]
