@@ -567,3 +567,19 @@ def test_shard_search(block, monkeypatch):
         want.append((best, scores[best]))
     for (ids, got), (best, scores) in zip(shard.search(asked, 10), want, strict=True):
         assert ids.tolist() == best and np.allclose(got, scores)
+
+
+def test_shard_search_scores_queries_together(monkeypatch):
+    """Bounds and rarer terms took a pass per query and shard; now only the rows that can be among the best do."""
+    rng = np.random.default_rng(5)
+    terms = [np.unique(rng.zipf(1.3, 20) % 500).astype(np.int64) for _ in range(400)]
+    size = np.array([len(t) for t in terms])
+    shard = topk_search.Shard(np.concatenate(terms), np.ones(size.sum(), np.int32), size, size, float(size.mean()), [np.arange(400)])
+    asked = [(t, np.ones(len(t))) for t in terms[:64]]
+    alone = [shard.search([q], 10)[0] for q in asked]
+    passes, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: passes.append(1) or count(*a, **k))
+    together = shard.search(asked, 10)
+    assert len(passes) <= 64 + 64 / topk_search.RARE_BATCH
+    for (a, x), (b, y) in zip(alone, together, strict=True):
+        assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
