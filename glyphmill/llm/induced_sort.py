@@ -139,19 +139,29 @@ def _lms(up: np.ndarray, limit: int) -> np.ndarray:
 
 def _refine(rank: np.ndarray, word: np.ndarray, some: np.ndarray) -> None:
     """Splits groups of equal rank by word, for the rows of whole groups. Ranks are where a group begins in the order."""
-    pick = np.lexsort((word, rank[some]))
-    r, w = rank[some][pick], word[pick]
+    r = rank[some]
+    if len(r) and (r[0] != r[-1] or (r != r[0]).any()):  # one number of both: it sorts several times as fast as two keys
+        most = int(word.max()) + 1
+        if most * (int(r.max()) + 1) >= 1 << 63:
+            order = np.argsort(word)
+            number = np.empty(len(word), np.int64)
+            number[order] = np.cumsum(np.append(False, word[order][1:] != word[order][:-1]))
+            word, most = number, int(number.max()) + 1
+        word = r * most + word
+    pick = np.argsort(word)
+    r, w = r[pick], word[pick]
     i = np.arange(len(r))
     new_group = np.append(True, r[1:] != r[:-1])
-    new_part = new_group | np.append(True, w[1:] != w[:-1])
+    new_part = np.append(True, w[1:] != w[:-1])  # where a group begins as well
     begin = np.maximum.accumulate(np.where(new_group, i, 0))
     part = np.maximum.accumulate(np.where(new_part, i, 0))
     rank[some[pick]] = r + part - begin
 
 
-def _tied(rank: np.ndarray) -> np.ndarray:
-    counts = np.bincount(rank, minlength=len(rank))
-    return np.flatnonzero(counts[rank] > 1)
+def _tied(rank: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Those of some whose rank another of them has."""
+    own = rank[some]
+    return some[np.bincount(own)[own] > 1] if len(some) else some
 
 
 def _order_in_memory(t: np.ndarray, up: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -162,16 +172,17 @@ def _order_in_memory(t: np.ndarray, up: np.ndarray, lms: np.ndarray) -> np.ndarr
     most = min(int(length.max()), DEPTH)
 
     def part(rows: np.ndarray, j: int) -> np.ndarray:
-        word = np.zeros(len(rows), np.int64)
+        word, first, own = np.zeros(len(rows), np.int64), lms[rows], length[rows]
         for k in range(per * j, per * (j + 1)):
-            at = np.minimum(lms[rows] + k, len(t) - 1)
-            word = (word << bits) | np.where(k < length[rows], (t[at].astype(np.int64) << 1) | up[at], 0)
+            at = np.minimum(first + k, len(t) - 1)
+            word <<= bits
+            word |= ((t[at].astype(np.int64) << 1) | up[at]) * (k < own)
         return word
 
-    rank = np.zeros(len(lms), np.int64)
-    _refine(rank, part(np.arange(len(lms)), 0), np.arange(len(lms)))
+    rank, left = np.zeros(len(lms), np.int64), np.arange(len(lms))
+    _refine(rank, part(left, 0), left)
     for j in range(1, -(-most // per)):
-        tied = _tied(rank)
+        tied = left = _tied(rank, left)
         longer = np.zeros(len(lms), bool)
         longer[rank[tied[length[tied] > per * j]]] = True
         tied = tied[longer[rank[tied]]]
@@ -179,9 +190,9 @@ def _order_in_memory(t: np.ndarray, up: np.ndarray, lms: np.ndarray) -> np.ndarr
             break
         _refine(rank, part(tied, j), tied)
     step = 1
-    while step < DEPTH // 2 and len(tied := _tied(rank)):
-        ahead = tied + step
-        _refine(rank, np.where(ahead < len(rank), rank[np.minimum(ahead, len(rank) - 1)] + 1, 0), tied)
+    while step < DEPTH // 2 and len(left := _tied(rank, left)):
+        ahead = left + step
+        _refine(rank, np.where(ahead < len(rank), rank[np.minimum(ahead, len(rank) - 1)] + 1, 0), left)
         step *= 2
     return lms[np.argsort(rank, kind="stable")]
 
@@ -252,11 +263,9 @@ def common_prefixes(padded: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     out, rows = np.zeros(len(a), np.int16), np.arange(len(a))
     for at in range(0, DEPTH, 8):
         x = words[a + at] ^ words[b + at]
-        same = x == 0
-        low = x & (~x + np.uint64(1))
-        first = np.zeros(len(x), np.int16)
-        first[~same] = np.log2(low[~same].astype(np.float64)).astype(np.int16) >> 3
-        out[rows] = np.where(same, at + 8, at + first)
+        # The bits below the lowest that differs: all 64 of equal words.
+        out[rows] = at + (np.bitwise_count(~x & (x - np.uint64(1))) >> 3)
+        same = np.flatnonzero(x == 0)
         a, b, rows = a[same], b[same], rows[same]
         if not len(rows):
             break

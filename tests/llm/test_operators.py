@@ -583,3 +583,19 @@ def test_shard_search_scores_queries_together(monkeypatch):
     assert len(passes) <= 64 + 64 / topk_search.RARE_BATCH
     for (a, x), (b, y) in zip(alone, together, strict=True):
         assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
+
+
+def test_ties_of_suffixes_are_split_by_one_key(monkeypatch):
+    """A sort by two keys took most of a shard's time; words too wide for one number with the rank are numbered first."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(np, "lexsort", None)
+    for wide in (5, 1 << 62):
+        rank = np.repeat([0, 4, 5, 9], [4, 1, 4, 3])
+        word = rng.integers(0, wide, 12)
+        word[[1, 6]] = word[[0, 5]]
+        some = np.flatnonzero(rank != 4)
+        want = rank.copy()
+        for i in some.tolist():
+            want[i] += sum(word[k] < word[i] for k in some.tolist() if rank[k] == rank[i])
+        induced_sort._refine(rank, word[some], some)
+        assert rank.tolist() == want.tolist()
