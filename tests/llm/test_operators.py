@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -585,6 +587,35 @@ def test_shard_search_scores_queries_together(monkeypatch):
         assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
 
 
+def test_topk_scores_pairs_exactly_after_the_merge(monkeypatch):
+    """Each task scored the best rows of each of its shards in double precision; only what is left of all tasks needs it, or too many equals."""
+    rng = np.random.default_rng(11)
+    terms = [np.unique(rng.integers(0, 500, 20)) for _ in range(400)]
+    length = pa.array([len(t) for t in terms], pa.int32())
+    columns = [pa.array(range(400)), pa.array(range(400)), pa.array(terms, pa.list_(pa.int64())), pa.array([np.ones(len(t), np.int32) for t in terms], pa.list_(pa.int32())), length]
+    batch = pa.RecordBatch.from_arrays(columns, ["rid", "k0", "terms", "counts", "length"])
+    first = np.concatenate([[0], np.cumsum([len(t) for t in terms[:40]])])
+    asked = SimpleNamespace(value=(np.arange(40), first, np.concatenate(terms[:40]), np.ones(first[-1])))
+    rounded, plain = [], np.round
+    monkeypatch.setattr(np, "round", lambda *a, **k: rounded.append(1) or plain(*a, **k))
+    found = pa.Table.from_batches(topk_search._search(10, 19.0, 1, asked, 50, 10**9)(iter([batch])))
+    assert not rounded
+    kept = Counter(found.column("query").to_pylist())
+    assert all(10 <= kept[q] <= topk_search.MOST + 10 for q in range(40))
+
+
+def test_topk_of_many_copies(spark, monkeypatch):
+    """Rows that tie with more than a task keeps unscored: the first by their keys."""
+    texts = [((i * 7) % 300, "alpha beta gamma" if i % 3 else f"alpha beta w{i % 9}") for i in range(300)]
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 40)
+    got = topk_search.report_documents(spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)).collect()
+    of = dict(texts)
+    want = {}
+    for q in range(0, 300, 20):
+        want[q] = sorted(i for i in of if of[i] == of[q])[:10]
+    assert {q: [r.hit_doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.doc_id == q] for q in want} == want
+
+
 def test_ties_of_suffixes_are_split_by_one_key(monkeypatch):
     """A sort by two keys took most of a shard's time; words too wide for one number with the rank are numbered first."""
     rng = np.random.default_rng(9)
